@@ -1,5 +1,5 @@
 """The query modules of this package."""
 
-from veldspaat.llm import queries_copies, queries_leaks, queries_pieces, queries_spans
+from veldspaat.llm import queries_copies, queries_leaks, queries_mixture, queries_pieces, queries_spans
 
-MODULES = [queries_spans, queries_copies, queries_leaks, queries_pieces]
+MODULES = [queries_spans, queries_copies, queries_leaks, queries_pieces, queries_mixture]

@@ -104,11 +104,17 @@ def leaked_passages(items: DataFrame, documents: DataFrame, *, item: str, item_t
     ahead = Window.partitionBy("_item").orderBy("at").rowsBetween(0, length - 1)
     rated = spelt.join(frequency, "term", "left").select("_item", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at").alias("_t"), "at")
     windows = rated.select("_item", F.array_sort(F.collect_list("_t").over(ahead)).alias("_w")).where((F.size("_w") == length) & (F.get("_w", F.lit(0))["df"] > 0))
-    anchors = written(windows.select("_item", F.explode(F.slice("_w", 1, 2)).alias("_t")).select("_item", "_t.term", "_t.at").distinct(), "leaks-anchors")
+    first, second = F.get("_w", F.lit(0)), F.get("_w", F.lit(1))
+    both = windows.select("_item", F.slice("_w", 1, 2).alias("_t"), F.least(first["at"], second["at"]).alias("_a"), F.greatest(first["at"], second["at"]).alias("_b"))
+    both = written(both.dropDuplicates(["_item", "_a", "_b"]), "leaks-windows")
+    anchors = written(both.select("_item", F.explode("_t").alias("_t")).select("_item", "_t.term", "_t.at").distinct(), "leaks-anchors")
 
     offset = sized_join(index, anchors, ["term"]).select("_item", "_doc", "at", F.explode("places").alias("place"))
-    offset = offset.groupBy("_item", "_doc", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
-    offset = written(offset, "leaks-offsets")
+    offset = offset.groupBy("_item", "_doc", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("_n"), F.min("at").alias("_a"), F.max("at").alias("_b"))
+    # Two hits must be the two terms of one window; three or more go on to the exact check.
+    pairs = both.select("_item", "_a", "_b", F.lit(True).alias("_pair"))
+    offset = sized_join(offset.where("_n >= 2"), pairs, ["_item", "_a", "_b"], "left").where("_n > 2 or _pair")
+    offset = written(offset.select("_item", "_doc", "shift"), "leaks-offsets")
 
     lists = sized_join(index, written(offset.select("_doc").distinct(), "leaks-documents"), ["_doc"])
     whole = offset.join(spelt, "_item").join(lists, ["_doc", "term"]).where(F.array_contains("places", F.col("at") + F.col("shift")))

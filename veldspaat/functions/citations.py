@@ -32,11 +32,12 @@ def references(text: Column) -> Column:
     A number with a letter but no colon, such as 86c, is an article too; whether it is meant as one only a match tells.
     """
     text = F.coalesce(text, F.lit(""))
-    found = []
-    for kind, pattern in KINDS:
+
+    def found(kind: str, pattern: str) -> Column:
         keys = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)
-        found.append(F.zip_with(keys, starts(text, pattern), lambda k, p, kind=kind: F.struct(F.lit(kind).alias("soort"), k.alias("verwijzing"), p.cast("int").alias("positie"))))
-    return F.concat(*found)
+        return F.zip_with(keys, starts(text, pattern), lambda k, p: F.struct(F.lit(kind).alias("soort"), k.alias("verwijzing"), p.cast("int").alias("positie")))
+
+    return F.concat(*[found(kind, pattern) for kind, pattern in KINDS])
 
 
 def law_keys(article: Column) -> Column:

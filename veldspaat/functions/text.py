@@ -82,7 +82,7 @@ def clipped(text: Column, limit: int) -> Column:
 
 def tags(text: Column) -> Column:
     """A comma list as an array, trimmed, without empty entries; null if none is left."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(F.size(parts) > 0, parts)
 
 
@@ -98,7 +98,7 @@ FURNITURE = r"^\s*(\d{1,3}|\*\s*Zie Begrippen|terug naar inhoud\s*>|Algemene voo
 def without_furniture(text: Column) -> Column:
     """Page furniture lines dropped, hyphenation at line ends undone, soft hyphens removed, spaces and blank lines reduced."""
     bare = F.regexp_replace(text, "[­﻿]", "")
-    lines = F.transform(F.filter(F.split(bare, "\n"), lambda r: ~r.rlike(FURNITURE)), F.rtrim)
+    lines = F.transform(F.filter(F.split(bare, "\n"), lambda r: ~r.rlike(FURNITURE)), lambda r: F.rtrim(r))
     out = F.regexp_replace(F.array_join(lines, "\n"), "(?<=[a-zà-öø-ÿ])-\n(?=[a-zà-öø-ÿ])", "")
     return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n")
 

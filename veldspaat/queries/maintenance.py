@@ -44,7 +44,7 @@ def law_version(spark: SparkSession, folder: str) -> DataFrame:
     """The article texts that held on a day."""
     rows = table(spark, folder, "wetgeving").select("bwb_id", "artikel", "geldig_op", "toestand_einddatum", "rij_id", "tekst")
     found = version_on(rows, key=["bwb_id", "artikel"], day=F.lit(DAY).cast("date"), start="geldig_op", end="toestand_einddatum", order=["rij_id"])
-    return found.select("bwb_id", "artikel", F.date_format("geldig_op", "yyyy-MM-dd").alias("geldig_op"), "rij_id", F.length("tekst").alias("n_chars"))
+    return found.select("bwb_id", "artikel", F.date_format("geldig_op", "yyyy-MM-dd").alias("geldig_op"), "rij_id", F.coalesce(F.length("tekst"), F.lit(-1)).alias("n_chars"))
 
 
 def upsert_lastwins(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,14 +182,14 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
 def toc_cut(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that begin with a table of contents, and what is left behind it."""
     rows = table(spark, folder, "documents").select("doc_id", "text", after_contents(F.col("text")).alias("body"))
-    return rows.where("body is null or body <> text").select("doc_id", F.length("text").alias("before"), F.length("body").alias("after"))
+    return rows.where("body is null or body <> text").select("doc_id", F.length("text").alias("before"), F.coalesce(F.length("body"), F.lit(-1)).alias("after"))
 
 
 def marker_cut(spark: SparkSession, folder: str) -> DataFrame:
     """The part of each article between its first and second member numbers, or why it can't be cut."""
     cut = between(F.col("tekst"), F.lit("1. "), F.lit("2. "))
     rows = table(spark, folder, "wetgeving").where("tekst is not null").select("rij_id", "tekst").distinct().select("rij_id", cut.alias("c"))
-    return rows.select("rij_id", F.length("c.cut").alias("n_chars"), F.col("c.error").alias("error"))
+    return rows.select("rij_id", F.coalesce(F.length("c.cut"), F.lit(-1)).alias("n_chars"), F.col("c.error").alias("error"))
 
 
 def runs_islands(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,10 +199,10 @@ def runs_islands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trailing_means(spark: SparkSession, folder: str) -> DataFrame:
-    """Events after which the mean to come is over twice the mean of the 80 before."""
-    rows = table(spark, folder, "events").select("event_id", "user_id", "value")
+    """Events after which the mean to come is over twice the mean of the 80 before, in cents."""
+    rows = table(spark, folder, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("value"))
     found = trailing_and_following(rows, group=["user_id"], order=["event_id"], value="value", back=80)
-    return found.where("after > 2 * before").select("event_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+    return found.where("after > 2 * before").select("event_id", F.floor("before").alias("before"), F.floor("after").alias("after"))
 
 
 def steepest_step(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +246,7 @@ SQL = {
   bindend is not null desc, coalesce(datum, '') desc, rij_id) as rank from (select * from kifid {_ONE}) where kern_klacht is not null) where rank <= 4""",
     "dedupe_first": "select uitspraaknummer, rij_id, thema from kifid where uitspraaknummer is not null qualify row_number() over (partition by uitspraaknummer order by rij_id) = 1",
     "result_order": f"select rij_id, uitspraaknummer, datum from (select * from kifid {_ONE}) order by coalesce(datum, '') desc, coalesce(uitspraaknummer, '') desc, rij_id limit 100",
-    "law_version": f"""select bwb_id, artikel, strftime(geldig_op, '%Y-%m-%d') as geldig_op, rij_id, length(tekst) as n_chars from wetgeving
+    "law_version": f"""select bwb_id, artikel, strftime(geldig_op, '%Y-%m-%d') as geldig_op, rij_id, coalesce(length(tekst), -1) as n_chars from wetgeving
   where geldig_op <= date '{DAY}' and coalesce(toestand_einddatum, date '9999-12-31') >= date '{DAY}'
   qualify row_number() over (partition by bwb_id, artikel order by geldig_op desc, coalesce(toestand_einddatum, date '9999-12-31') desc, rij_id desc) = 1""",
     "upsert_lastwins": """with days as (select distinct opgehaald_op from polis_levering order by 1 desc limit 2),
@@ -282,16 +282,17 @@ select strftime(opgehaald_op, '%Y-%m-%d') as opgehaald_op, count(*) as clausules
   from (select unnest(regexp_extract_all(kern_klacht, '{_DATE}', 1)) as dd, unnest(regexp_extract_all(kern_klacht, '{_DATE}', 2)) as m, unnest(regexp_extract_all(kern_klacht, '{_DATE}', 3)) as y from kifid))
   where d is not null group by all""",
     "ticks_dates": "select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n from orders group by 1",
-    "marker_cut": f"""select rij_id, case when error is null then length(trim(substr(t, strpos(t, '1. '), strpos(t, '2. ') - strpos(t, '1. ')))) end as n_chars, error from (
+    "marker_cut": f"""select rij_id, case when error is null then length(trim(substr(t, strpos(t, '1. '), strpos(t, '2. ') - strpos(t, '1. ')))) else -1 end as n_chars, error from (
   select rij_id, t, case when (length(t) - length(replace(t, '1.', ''))) // 2 <> 1 then 'start ' || (length(t) - length(replace(t, '1.', ''))) // 2 || 'x'
     when (length(t) - length(replace(t, '2.', ''))) // 2 <> 1 then 'end ' || (length(t) - length(replace(t, '2.', ''))) // 2 || 'x'
     when strpos(t, '2.') <= strpos(t, '1.') then 'end before start' end as error
   from (select distinct rij_id, {squash("tekst")} as t from wetgeving where tekst is not null))""",
     "runs_islands": """select user_id, event_type, max(n) as longest, count(*) as n_runs from (
   select user_id, event_type, island, count(*) as n from (select user_id, event_type, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as island from events) group by all) group by all""",
-    "trailing_means": """select event_id, round(before, 6) as before, round(after, 6) as after from (
+    "trailing_means": """select event_id, floor(before)::bigint as before, floor(after)::bigint as after from (
   select event_id, avg(value) over (partition by user_id order by event_id rows between 80 preceding and 1 preceding) as before,
-    avg(value) over (partition by user_id order by event_id rows between current row and unbounded following) as after from events) where after > 2 * before""",
+    avg(value) over (partition by user_id order by event_id rows between current row and unbounded following) as after
+  from (select event_id, user_id, round(value * 100)::bigint as value from events)) where after > 2 * before""",
     "steepest_step": """select user_id, round(step, 4) as step, event_id as at from (select *, row_number() over (partition by user_id order by step desc, event_id) as r from (
   select user_id, event_id, abs(value - lag(value) over (partition by user_id order by event_id)) as step from events) where step is not null) where r = 1""",
     "band_stats": "select event_type, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as spread, round(avg((value < 10)::int), 4) as calm_share, round(quantile_cont(value, 0.25), 4) as quartile from events group by 1",

@@ -9,7 +9,8 @@ from veldspaat.functions.text import joined, tokens
 from veldspaat.operators.gate import audited, gate_status, usable
 from veldspaat.operators.passages import block, contexts, listed, verdicts
 from veldspaat.operators.ranking import first_per_key
-from veldspaat.operators.retrieval import bm25, document_frequencies, length_statistics, term_counts
+from veldspaat.operators.retrieval import bm25, document_frequencies, length_statistics
+from veldspaat.plans.tasks import TASKS, planned
 from veldspaat.queries import sqltext
 from veldspaat.sources.corpora import FIELDS
 from veldspaat.sources.tables import table
@@ -108,6 +109,20 @@ def precedent_summary(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts(ranked, query="item_id", verdict="oordeel")
 
 
+def task_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What the composed tasks find for complaints, the tasks taken in turn: one batch per corpus."""
+    names = F.array(*[F.lit(t) for t in TASKS])
+    asked = first_per_key(table(spark, folder, "kifid").where("kern_klacht is not null"), ["rij_id"], [F.col("rij_id")])
+    asked = asked.select(F.concat_ws("-", F.lit("k"), "rij_id").alias("req"), F.get(names, (F.col("rij_id") % len(TASKS)).cast("int")).alias("functie"), F.left("kern_klacht", F.lit(400)).alias("vraag"))
+    plan = planned(asked, task="functie", text="vraag")
+    parts = []
+    for c in CORPORA:
+        mine = plan.where(F.col("corpus") == c)
+        hits = bm25(corpus(spark, folder, c), mine, item="rij_id", text=_text(c), query="req", query_text=F.col("question"), k=8)
+        parts.append(hits.join(mine.select("req", "functie", "depth", "corpus"), "req").where("rank <= depth").drop("depth"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def clause_compare(spark: SparkSession, folder: str) -> DataFrame:
     """The six clauses closest to the exclusions of each product, to be laid side by side."""
     names = table(spark, folder, "polisvoorwaarden").where("product is not null").select("product").distinct()
@@ -172,9 +187,23 @@ _CONTEXT = " union all ".join(
 _VERDICTS = f"""select item_id, sum(n)::bigint as n, string_agg(n || 'x ' || v, ', ' order by n desc, r) as summary from (
   select item_id, v, count(*) as n, min(rank) as r from ({_joined_sql("kifid", 8, "lower(coalesce(nullif(oordeel, ''), 'onbekend')) as v")}) group by item_id, v) group by item_id"""
 
+
+
+def _task_sql(c: str) -> str:
+    cases = []
+    for i, (t, (corpora, depth, words, most)) in enumerate(TASKS.items()):
+        if c in corpora:
+            own = "v" if most is None else f"left(v, {most})"
+            cases.append(f"select 'k-' || rij_id as q, '{t}' as functie, {depth} as depth, trim(concat_ws(' ', {own}, '{words}')) as text from asked where rij_id % {len(TASKS)} = {i}")
+    asked = "(select rij_id, left(kern_klacht, 400) as v from kifid where kern_klacht is not null qualify row_number() over (partition by rij_id) = 1)"
+    mine = " union all ".join(cases).replace("from asked", f"from {asked}")
+    hits = _bm25_sql(f"select rij_id as d, {sqltext.joined(*FIELDS[c])} as text from {_corpus_sql(c)}", f"select q, text from ({mine})", 8)
+    return f"select h.q as req, d as rij_id, score, rank, functie, '{c}' as corpus from ({hits}) h join ({mine}) m on h.q = m.q where rank <= depth"
+
+
 QUERIES = {
     f.__name__: f
-    for f in (gate_rows, tokenize_counts, term_df, doc_len_stats, term_weight_by_source, bm25_documents, bm25_fanout, source_list, context_block, precedent_summary, clause_compare)
+    for f in (gate_rows, tokenize_counts, term_df, doc_len_stats, term_weight_by_source, bm25_documents, bm25_fanout, source_list, context_block, precedent_summary, clause_compare, task_sources)
 } | {"gate_status": gate_status_all}
 SQL = {
     "gate_status": " union all ".join(map(_status_sql, CORPORA)),
@@ -188,6 +217,7 @@ SQL = {
     "source_list": " union all ".join(_joined_sql(c, 3, _LISTED[c]) for c in CORPORA),
     "context_block": f"select item_id, string_agg(s, chr(10) || chr(10) order by place) as context from ({_CONTEXT}) group by item_id",
     "precedent_summary": _VERDICTS,
+    "task_sources": " union all ".join(map(_task_sql, CORPORA)),
     "clause_compare": "select q as product, d as rij_id, score, rank from ("
     + _bm25_sql(f"select rij_id as d, {sqltext.joined(*FIELDS['polisvoorwaarden'])} as text from {_corpus_sql('polisvoorwaarden')}", "select distinct product as q, product || ' uitsluiting dekking eigen risico' as text from polisvoorwaarden where product is not null", 6)
     + ")",

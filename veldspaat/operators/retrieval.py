@@ -1,4 +1,8 @@
-"""Lexical retrieval: BM25 for a batch of queries over a table of texts."""
+"""Lexical retrieval: BM25 for a batch of queries over a table of texts.
+
+Tokens are exploded with explode_outer and a filter behind it: for a plain explode the optimizer adds a test that the
+array isn't empty, and with it a second tokenization of every text below the next shuffle.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +17,13 @@ K1, B = 1.5, 0.75
 
 def term_counts(texts: DataFrame, *, item: str, text: Column) -> DataFrame:
     """(item, n_tokens, term, tf) of every distinct term of every text. Texts without a token give no row."""
-    spelt = texts.select(item, tokens(text).alias("_t")).select(item, F.size("_t").alias("n_tokens"), F.explode("_t").alias("term"))
+    spelt = texts.select(item, tokens(text).alias("_t")).select(item, F.size("_t").alias("n_tokens"), F.explode_outer("_t").alias("term")).where("term is not null")
     return spelt.groupBy(item, "n_tokens", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(texts: DataFrame, *, text: Column) -> DataFrame:
     """(term, df): the number of texts each term is in, counted without ids: a text's terms are made distinct in place."""
-    return texts.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return texts.select(F.explode_outer(F.array_distinct(tokens(text))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def length_statistics(texts: DataFrame, *, text: Column) -> DataFrame:
@@ -33,13 +37,14 @@ def bm25(texts: DataFrame, queries: DataFrame, *, item: str, text: Column, query
 
     A term that a query has twice counts twice. Texts that share no term with a query don't appear, a query without
     tokens has no rows. Only two numbers about the texts reach the driver. Tokens that no query has are dropped before
-    anything is shuffled; the terms of the batch are broadcast if a count shows they are few. The window that ranks
-    keeps ``k`` rows per query on each task before it shuffles.
+    anything is shuffled; the terms of the batch are broadcast if a count shows they are few. The one shuffle is by text,
+    so counting terms and adding up scores both happen where a text's tokens are. The window that ranks keeps ``k`` rows
+    per query on each task before it shuffles.
     """
     size = length_statistics(texts, text=text).first()
-    asked = queries.select(F.col(query).alias("_q"), F.explode(tokens(query_text)).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("_times"))
-    spelt = texts.select(F.col(item).alias("_d"), tokens(text).alias("_t")).select("_d", F.size("_t").alias("_len"), F.explode("_t").alias("term"))
-    postings = sized_join(spelt, asked.select("term").distinct(), ["term"], "left_semi").groupBy("_d", "_len", "term").agg(F.count("*").alias("_tf"))
+    asked = queries.select(F.col(query).alias("_q"), F.explode_outer(tokens(query_text)).alias("term")).where("term is not null").groupBy("_q", "term").agg(F.count("*").alias("_times"))
+    spelt = texts.select(F.col(item).alias("_d"), tokens(text).alias("_t")).select("_d", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term")).where("term is not null")
+    postings = sized_join(spelt, asked.select("term").distinct(), ["term"], "left_semi").repartition("_d").groupBy("_d", "_len", "term").agg(F.count("*").alias("_tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
     n, average = float(size["n_docs"]), float(size["average"]) or 1.0
     weight = F.col("_times") * F.log1p((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))

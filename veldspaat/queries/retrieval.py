@@ -13,7 +13,7 @@ from veldspaat.operators.retrieval import bm25, document_frequencies, length_sta
 from veldspaat.plans.tasks import TASKS, planned
 from veldspaat.queries import sqltext
 from veldspaat.sources.corpora import FIELDS
-from veldspaat.sources.tables import table
+from veldspaat.sources.tables import spread, table
 
 CORPORA = ("kifid", "wetgeving", "polisvoorwaarden")
 
@@ -27,7 +27,7 @@ def _verified(corpus: str) -> Column:
 def corpus(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The records of a corpus that pass the gate, each once."""
     rows = table(spark, folder, name).where(usable(_verified(name)))
-    return first_per_key(rows, ["rij_id"], [F.col("rij_id")])
+    return first_per_key(spread(rows, "rij_id"), ["rij_id"], [F.col("rij_id")])
 
 
 def _text(name: str) -> Column:
@@ -49,29 +49,29 @@ def gate_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and distinct tokens of every document."""
-    t = table(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, folder, "documents"), "doc_id").select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
 
 
 def term_df(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency of every term."""
-    return document_frequencies(table(spark, folder, "documents"), text=F.col("text"))
+    return document_frequencies(spread(table(spark, folder, "documents"), "doc_id"), text=F.col("text"))
 
 
 def doc_len_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Number of documents and tokens, and the average length."""
-    return length_statistics(table(spark, folder, "documents"), text=F.col("text")).withColumn("average", F.round("average", 6))
+    return length_statistics(spread(table(spark, folder, "documents"), "doc_id"), text=F.col("text")).withColumn("average", F.round("average", 6))
 
 
 def term_weight_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of every term by source."""
-    texts = table(spark, folder, "documents").select("source", F.explode(tokens(F.col("text"))).alias("term"))
+    texts = spread(table(spark, folder, "documents"), "doc_id").select("source", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null")
     return texts.groupBy("source", "term").agg(F.count("*").alias("n"))
 
 
 def bm25_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The six best documents for each test item."""
-    return bm25(table(spark, folder, "documents"), table(spark, folder, "toetsitems"), item="doc_id", text=F.col("text"), query="item_id", query_text=F.col("tekst"), k=6)
+    return bm25(spread(table(spark, folder, "documents"), "doc_id"), table(spark, folder, "toetsitems"), item="doc_id", text=F.col("text"), query="item_id", query_text=F.col("tekst"), k=6)
 
 
 def _fanout(spark: SparkSession, folder: str, name: str, k: int) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WETGEVING = T.StructType.fromDDL(
+WETGEVING = (
     "wet string, bwb_id string, artikel string, titel string, tekst string, leden array<string>, onderwerp string, structuur array<string>, geldig_op date, "
     "toestand_einddatum date, bron_url string, bron_xml_url string, bron_verificatie_url string, bron_geverifieerd boolean, opgehaald_op date"
 )
-KIFID = T.StructType.fromDDL(
+KIFID = (
     "uitspraaknummer string, datum string, titel string, categorie string, kern_klacht string, samenvatting string, kernoverweging string, kernoverweging_bron string, "
     "thema string, oordeel string, bindend boolean, oordeel_herkomst string, uitkomst_letterlijk string, beslissing_letterlijk string, aard_uitspraak_letterlijk string, "
     "bron_url string, pdf_url string, opgehaald_op string, instantie string, verweerder string, kop_layout string, datum_uit_uitspraaktekst string, datum_uit_api string, "
@@ -18,10 +18,11 @@ KIFID = T.StructType.fromDDL(
     "nummer_in_pdf boolean, pdf_leesfout string, bron_geverifieerd boolean, bron_soort string, bron_verificatie_notitie string, uitkomst_letterlijk_uit_pdf string, "
     "pdf_bytes long, bron_html_redirect_naar_register boolean, audit_bevinding string"
 )
-POLISVOORWAARDEN = T.StructType.fromDDL(
+POLISVOORWAARDEN = (
     "product string, verzekeraar_of_bron string, document string, clausule_id string, kop string, tekst string, type string, bron_url string, bron_http_status int, "
     "bron_pdf_sha256 string, opgehaald_op date"
 )
+#: Column definitions of each corpus; parsed when a session is there.
 SCHEMAS = {"wetgeving": WETGEVING, "kifid": KIFID, "polisvoorwaarden": POLISVOORWAARDEN}
 #: The fields of each corpus that retrieval indexes.
 FIELDS = {
@@ -31,6 +32,11 @@ FIELDS = {
 }
 
 
+def schema_of(corpus: str) -> T.StructType:
+    """The schema of a corpus."""
+    return T.StructType.fromDDL(SCHEMAS[corpus])
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Records of a JSON file that is an array or an object with an array ``records``; nothing is inferred.
 
@@ -52,7 +58,7 @@ def load_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     rows = []
     for name, path in paths.items():
         try:
-            rows.append((name, True, read_corpus(spark, path, SCHEMAS[name]).count(), None))
+            rows.append((name, True, read_corpus(spark, path, schema_of(name)).count(), None))
         except Exception as error:  # noqa: BLE001 - whatever the source does, the others must load
             rows.append((name, False, 0, str(error).splitlines()[0][:200]))
     return spark.createDataFrame(rows, "corpus string, geladen boolean, records long, fout string")

@@ -37,14 +37,14 @@ def schema_of(corpus: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[corpus])
 
 
-def read_corpus(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema: T.StructType, *, lines: bool = False) -> DataFrame:
     """Records of a JSON file that is an array or an object with an array ``records``; nothing is inferred.
 
-    Values that aren't objects become no records. JSON lines are read as well, one record per line.
+    Values that aren't objects become no records. With ``lines`` each line is a record, and files are split over tasks.
     """
     kinds = {f.name for f in schema}
     wide = T.StructType([*schema, T.StructField("records", T.ArrayType(schema))])
-    rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(wide).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     single = rows.where("records is null").drop("records")
     inside = rows.where("records is not null").select(F.inline("records"))
     any_value = F.lit(False)

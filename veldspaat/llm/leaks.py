@@ -118,6 +118,7 @@ def leaked_passages(items: DataFrame, documents: DataFrame, *, item: str, item_t
 
     lists = sized_join(index, written(offset.select("_doc").distinct(), "leaks-documents"), ["_doc"])
     whole = offset.join(spelt, "_item").join(lists, ["_doc", "term"]).where(F.array_contains("places", F.col("at") + F.col("shift")))
+    whole = whole.select("_item", "_doc", "shift", "at").distinct()  # a repeated document has its postings twice
     line = ["_item", "_doc", "shift"]
     order = Window.partitionBy(*line).orderBy("at")
     near = Window.partitionBy(*line).orderBy("at").rangeBetween(0, span - 1)

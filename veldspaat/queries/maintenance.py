@@ -276,6 +276,14 @@ select strftime(opgehaald_op, '%Y-%m-%d') as opgehaald_op, count(*) as clausules
     "text_hash": "select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents where text is not null group by 1 having count(*) > 1",
     "ws_norm": f"select distinct rij_id, length(tekst) as before, length({squash('tekst')}) as after from polisvoorwaarden where tekst <> '' and {squash('tekst')} <> tekst",
     "letters_norm": f"select {_LETTERS.format('kop')} as letters, count(distinct kop) as spellings, count(*) as n from polisvoorwaarden where kop is not null group by 1 having count(distinct kop) > 1",
+    "clip_sentence": """with t as (select distinct rij_id, kern_klacht as t, left(kern_klacht, 400) as c from kifid where kern_klacht is not null),
+p as (select *, length(c) - 1 - nullif(strpos(reverse(c), ' .'), 0) as dot, length(c) - 1 - nullif(strpos(reverse(c), ' !'), 0) as bang,
+  length(c) - 1 - nullif(strpos(reverse(c), ' ?'), 0) as ask, length(c) - nullif(strpos(reverse(c), ' '), 0) as space from t)
+select rij_id, case when length(t) <= 400 then t when dot > 160 then left(c, dot + 1) when bang > 160 then left(c, bang + 1) when ask > 160 then left(c, ask + 1)
+  when space is not null then rtrim(left(c, space)) || ' [...]' else c || ' [...]' end as clipped from p""",
+    "tagless": "select doc_id, length(t)::int as n_chars from (select doc_id, "
+    + squash("replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&euro;', '€'), '&amp;', '&')")
+    + " as t from documents where regexp_matches(text, '<[^>]+>'))",
     "tag_counts": "select tag, count(*) as n from (select unnest(list_filter(list_transform(string_split(array_to_string(kifid_onderwerp_tags, ', '), ','), lambda x: trim(x)), lambda x: x <> '')) as tag from kifid) group by tag",
     "dates_found": f"""select year(d)::int as year, month(d)::int as month, count(*) as n from (
   select try_cast(y || '-' || lpad(list_position(['januari', 'februari', 'maart', 'april', 'mei', 'juni', 'juli', 'augustus', 'september', 'oktober', 'november', 'december'], m)::varchar, 2, '0') || '-' || lpad(dd, 2, '0') as date) as d

@@ -23,9 +23,9 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 
 
 def salted_join(
-    rows: DataFrame, keys: DataFrame, on: str, times: str, total: int, spread: str, *, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS
+    rows: DataFrame, keys: DataFrame, on: str, times: str, total: int, spread: str, how: str = "inner", *, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``keys``, one row per value of ``on``, that survives a value holding a third of all rows.
+    """Join, inner or left, of ``rows`` with ``keys``, one row per value of ``on``, that survives a value with a third of all rows.
 
     ``times`` is the column of ``keys`` with the number of rows that have the key, ``total`` the number of all rows.
     The counts add up to ``total`` at most, so no more than 1 / share keys can reach ``share * total``: that list is
@@ -37,4 +37,4 @@ def salted_join(
     marked = rows.join(F.broadcast(hot), on, "left")
     left = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     copies = F.when(F.col(times) >= line, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(keys.withColumn("_salt", F.explode(copies)), [on, "_salt"]).drop("_salt")
+    return left.join(keys.withColumn("_salt", F.explode(copies)), [on, "_salt"], how).drop("_salt")

@@ -158,18 +158,23 @@ def groups(members: DataFrame, links: DataFrame, *, item: str) -> DataFrame:
     """(item, class, copies, n_links, group): one row per record; ``group`` is the smallest class that links lead to.
 
     Labels spread along links and then jump to their label's label, so a chain of n classes takes about log n rounds.
-    Each round is a written table; only its count of changes reaches the driver.
+    Each round is a written table; only counts reach the driver. A class that a third of all links lead to, or a label
+    that a third of all classes have, is salted in the joins and reduced by partial aggregation.
     """
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "groups-edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "groups-labels")
+    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n_links"))
+    labels = written(labels, "groups-labels")
+    n_edges, n_nodes = edges.count(), labels.count()
     while True:
-        lower = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        step = labels.join(lower, "a").join(jump, "label").select("a", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved"))
+        near = salted_join(edges, labels.select(F.col("a").alias("b"), "label", "n_links"), "b", "n_links", n_edges, "a")
+        lower = near.groupBy("a").agg(F.min("label").alias("near"))
+        held = labels.groupBy("label").agg(F.count("*").alias("_held")).join(labels.select(F.col("a").alias("label"), F.col("label").alias("far")), "label")
+        step = salted_join(labels.join(lower, "a"), held, "label", "_held", n_nodes, "a")
+        step = step.select("a", F.least("label", "near", "far").alias("label"), "n_links", (F.least("near", "far") < F.col("label")).alias("moved"))
         step = written(step, "groups-labels")
         labels = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-    degree = edges.groupBy("a").agg(F.count("*").alias("n_links"))
-    found = labels.join(degree, "a").withColumnRenamed("a", "class")
-    return members.join(found, "class", "left").select(item, "class", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class").alias("group"))
+    found = labels.withColumnRenamed("a", "class").join(members.groupBy("class").agg(F.count("*").alias("_held")), "class")
+    out = salted_join(members, found, "class", "_held", members.count(), item, how="left")
+    return out.select(item, "class", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class").alias("group"))

@@ -30,5 +30,16 @@ def p3_groepen(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rij_id", F.col("class").alias("klasse"), F.col("copies").alias("exemplaren"), F.col("n_links").alias("verbanden"), F.col("group").alias("groep"))
 
 
+_FOUND = r"""
+with texts as (
+  select distinct rij_id, regexp_extract_all(lower(coalesce(kop, '') || ' ' || tekst), '[\p{L}\p{Nd}]+') as w from polisvoorwaarden
+  where len(regexp_extract_all(tekst, '[\p{L}\p{Nd}]+')) >= 20
+), reeksen as (
+  select rij_id, s from (select rij_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from texts)
+), maten as (select rij_id, count(*) as n from reeksen group by 1),
+samen as (select a.rij_id as rij_a, b.rij_id as rij_b, count(*) as c from reeksen a join reeksen b on a.s = b.s and a.rij_id < b.rij_id group by all)
+select rij_a, rij_b from samen join maten x on x.rij_id = rij_a join maten y on y.rij_id = rij_b where c * 10 >= 6 * (x.n + y.n - c)
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_groepen": p3_groepen}
-SQL: dict[str, str] = {}
+SQL = {"p3_found": _FOUND}

@@ -28,5 +28,13 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return _passages(spark, folder).where("kind = 'exact'").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+_FOUND = r"""
+with stukken as (select item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as s
+  from (select item_id, regexp_extract_all(lower(tekst), '[\p{L}\p{Nd}]+') as w from toetsitems)),
+reeksen as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as s
+  from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from documents))
+select distinct item_id, doc_id from stukken join reeksen using (s)
+"""
+
 QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages, "p6_items": p6_items}
-SQL: dict[str, str] = {}
+SQL = {"p6_found": _FOUND}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspaat.functions.text import collapse
+from veldspaat.functions.text import SPACE, collapse
 from veldspaat.llm.spans import shared_spans
 from veldspaat.sources.tables import table
 
@@ -26,5 +26,15 @@ def p1_spans(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder).select("bron", "rij_id", "n_chars", "n_shared", F.round("share", 6).alias("share"), F.inline("spans"))
 
 
+_FOUND = f"""
+with texts as (
+  select distinct 'polisvoorwaarden' as bron, rij_id, 'r' || rij_id as eigenaar, trim(regexp_replace(tekst, '{SPACE}+', ' ', 'g')) as t from polisvoorwaarden
+  union select distinct 'kifid', rij_id, coalesce('z' || uitspraaknummer, 'k' || rij_id), trim(regexp_replace(kern_klacht, '{SPACE}+', ' ', 'g')) from kifid
+), vensters as (
+  select bron, rij_id, eigenaar, md5(substr(t, i, 160)) as h from (select *, unnest(range(1, length(t) - 158)) as i from texts where length(t) >= 160)
+)
+select distinct bron, rij_id from vensters where h in (select h from vensters group by h having min(eigenaar) <> max(eigenaar))
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans}
-SQL: dict[str, str] = {}
+SQL = {"p1_found": _FOUND}

@@ -5,6 +5,8 @@ All are built-in expressions, null in gives null out unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: expressions stay small."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Every run of Unicode white space made one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
@@ -66,15 +73,16 @@ def without_tags(html: Column) -> Column:
 
 def clipped(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut after a sentence if one ends beyond 0.4 of them, else after a word with a mark."""
-    cut = F.left(text, F.lit(limit))
+    return let(text, lambda whole: F.when(F.length(whole) <= limit, whole).otherwise(let(F.left(whole, F.lit(limit)), lambda cut: _shortened(cut, limit))))
+
 
+def _shortened(cut: Column, limit: int) -> Column:
     def after(mark: str) -> Column:
-        """Characters up to the last mark, 0 if there is none."""
-        tail = F.substring_index(cut, mark, -1)
-        return F.when(F.contains(cut, F.lit(mark)), F.length(cut) - F.length(tail) - 2).otherwise(F.lit(-1))
+        """Characters before the last mark, -1 if there is none."""
+        return F.when(F.contains(cut, F.lit(mark)), F.length(cut) - F.length(F.substring_index(cut, mark, -1)) - 2).otherwise(F.lit(-1))
 
     word = F.rtrim(F.when(F.contains(cut, F.lit(" ")), F.left(cut, F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1)).otherwise(cut))
-    out = F.when(F.length(text) <= limit, text)
+    out = F.when(cut.isNull(), cut)
     for mark in (". ", "! ", "? "):
         out = out.when(after(mark) > 0.4 * limit, F.left(cut, after(mark) + 1))
     return out.otherwise(F.concat(word, F.lit(" [...]")))

@@ -31,3 +31,22 @@ def gate_status(records: DataFrame, *, verified: Column, names: list[Column], mo
     first = named.where("not _ok and _id is not null").select("_id").orderBy("_id").limit(most)
     ids = first.agg(F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("refused_ids"))
     return counts.withColumn("_one", F.lit(1)).join(ids.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def print_check(address: Column, status: Column, magic: Column, text: Column, number: Column, audit: Column) -> Column:
+    """struct(verified, note) of a record against the print it names, from what was landed of it.
+
+    An audit finding or a missing address decides first; then the print must be there, be a PDF by its first bytes, and
+    have the record's number in its first pages.
+    """
+
+    def state(ok: bool, note: Column | str) -> Column:
+        return F.struct(F.lit(ok).alias("verified"), (F.lit(note) if isinstance(note, str) else note).alias("note"))
+
+    return (
+        F.when(F.coalesce(audit, F.lit("")) != "", state(False, F.concat(F.lit("audit: "), audit)))
+        .when(F.coalesce(address, F.lit("")) == "", state(False, "no address"))
+        .when(status.isNull() | (status != 200) | ~F.startswith(F.coalesce(magic, F.lit("")), F.lit("%PDF")), state(False, F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("-")), F.lit(", no PDF"))))
+        .when(F.contains(F.coalesce(text, F.lit("")), F.nullif(number, F.lit(""))), state(True, "number read back from the print"))
+        .otherwise(state(False, "number not in the print"))
+    )

@@ -70,3 +70,21 @@ def verdicts(ranked: DataFrame, *, query: str, verdict: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_r").alias("r"), F.col("_v").alias("v"))))
     summary = F.array_join(F.transform(ordered, lambda s: F.concat((-s["n"]).cast("string"), F.lit("x "), s["v"])), ", ")
     return counts.groupBy(query).agg(F.sum("_n").alias("n"), summary.alias("summary"))
+
+
+#: What an answer must keep to; the context follows.
+RULES = """Beantwoord de vraag alleen met de bronnen hieronder.
+1. Noem bij elke bewering de bron waar zij op rust.
+2. Noem geen artikel, uitspraak of clausule die niet hieronder staat.
+3. Staat het antwoord niet in de bronnen, zeg dat dan.
+4. Reken niets zelf uit; gegeven uitkomsten gelden.
+5. Houd onzekerheid zichtbaar.
+6. Schrijf kort en in gewoon Nederlands.
+
+BRONNEN
+"""
+
+
+def prompt(context: Column) -> Column:
+    """The instructions for an answer with its context; without any, the context says that nothing was found."""
+    return F.concat(F.lit(RULES), F.coalesce(F.nullif(context, F.lit("")), F.lit(NOTHING)))

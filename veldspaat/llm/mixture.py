@@ -6,9 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +62,10 @@ def token_counts(records: DataFrame, *, ids: list[str], text: Column, tokenizer:
     return base.mapInArrow(_count(tokenizer), schema)
 
 
-def _uniform(seed: int):
-    @F.pandas_udf(T.DoubleType())
-    def draw(recipe, item):
-        return (recipe.fillna("").astype(str) + "\x1f" + item.astype(str)).map(lambda s: xxhash.xxh3_64_intdigest(s, seed) / 2.0**64)
-
-    return draw
+def _uniform(seed: int, *values: str) -> Column:
+    """A number in [0, 1) from the hash of the values and the seed: the upper 53 bits, all that a double holds."""
+    hashed = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
 
 
 def mixture(
@@ -108,7 +104,7 @@ def mixture(
     plan = written(plan.withColumn("rate", rate), "mixture-plan")
 
     drawn = sized_join(counted.where("tokens > 0").withColumnRenamed(source, "source"), plan.where("rate > 0").select("recipe", "source", "rate"), ["source"])
-    extra = F.when(_uniform(seed)("recipe", doc) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    extra = F.when(_uniform(seed, "recipe", doc) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     uses = written(drawn.select("recipe", doc, "source", "tokens", (F.floor("rate") + extra).cast("int").alias("uses")).where("uses > 0"), "mixture-uses")
 
     got = uses.groupBy("recipe", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("actual_tokens"))

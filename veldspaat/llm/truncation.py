@@ -35,7 +35,7 @@ BEHIND = r"(?:\s+\d{1,4}\s*/\s*\d{1,4}|(?<=[.!?])\d|(?<=[^\d\s][.!?])\d{1,2}|\s*
 #: A finished sentence.
 TERMINAL = r"[.!?][’”\"')\]]*$"
 #: A short form before a full stop, after which a sentence goes on.
-SHORT = r"(?i)(?:^|[\s(])(?:art|artt|nr|nrs|par|blz|ca|dhr|mevr|mr|dr|bijv|resp|jo|vgl|o\.a|d\.w\.z|m\.b\.t|t\.a\.v|i\.v\.m|e\.d)\.$"
+SHORT = r"(?i)(?:^|[\s(])(?:art|artt|nr|nrs|par|blz|ca|dhr|mevr|mr|dr|bijv|resp|jo|vgl|o\.a|d\.w\.z|m\.b\.t|t\.a\.v|i\.v\.m|e\.d)\.$|(?:^|[\s(])(?:\p{Ll}\.){2,}$"
 #: An amount whose thousands may follow: the currency, at most three digits and the separator.
 THOUSANDS = r"€\s?\d{1,3}\.\d{0,2}$"
 OPEN = r"(?:[,;:€(\[/&+=–—]|\p{L}-)$"
@@ -53,9 +53,9 @@ def spikes(values: DataFrame) -> DataFrame:
     Different values are counted, not rows: a phrase that many records share makes no spike. Lengths are counted before
     anything is ordered, so windows run over histograms, never over rows.
     """
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("value").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("length"))))
-    different = values.select("source", "field", F.xxhash64("value").alias("h"), units.alias("u")).select("source", "field", "h", "u.*").distinct()
-    histogram = different.groupBy("source", "field", "unit", "length").agg(F.count("*").alias("n"))
+    different = values.select("source", "field", F.xxhash64("value").alias("h"), F.length("value").alias("chars"), F.octet_length("value").alias("bytes")).distinct()
+    lengths = different.unpivot(["source", "field"], ["chars", "bytes"], "unit", "length")
+    histogram = lengths.groupBy("source", "field", "unit", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "field", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
     mean = (F.sum("n").over(near) - F.col("n")) / (2 * AROUND)
     rated = histogram.select("*", mean.alias("_mean"), F.max("n").over(Window.partitionBy("source", "field", "unit")).alias("_top"))

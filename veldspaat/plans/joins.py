@@ -23,7 +23,7 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 
 
 def salted_join(
-    rows: DataFrame, keys: DataFrame, on: str, times: str, total: int, spread: str, how: str = "inner", *, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS
+    rows: DataFrame, keys: DataFrame, on: str | list[str], times: str, total: int, spread: str, how: str = "inner", *, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS
 ) -> DataFrame:
     """Join, inner or left, of ``rows`` with ``keys``, one row per value of ``on``, that survives a value with a third of all rows.
 
@@ -32,9 +32,10 @@ def salted_join(
     bounded whatever the data, and is the only thing broadcast. Rows of hot keys are spread over ``salts`` partitions
     by the hash of column ``spread``; the hot keys are repeated once per salt. Null keys match nothing.
     """
+    on = [on] if isinstance(on, str) else on
     line = max(least, int(total * share))
-    hot = keys.where(F.col(times) >= line).select(on, F.lit(True).alias("_hot"))
+    hot = keys.where(F.col(times) >= line).select(*on, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(hot), on, "left")
     left = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     copies = F.when(F.col(times) >= line, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(keys.withColumn("_salt", F.explode(copies)), [on, "_salt"], how).drop("_salt")
+    return left.join(keys.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how).drop("_salt")

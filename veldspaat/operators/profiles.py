@@ -32,3 +32,11 @@ def band_statistics(rows: DataFrame, *, group: list[str], value: str, calm: floa
     """(*group, mean, spread, calm_share, quartile): mean, population deviation, share of values under ``calm``, lower quartile."""
     v = F.col(value)
     return rows.groupBy(*group).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.avg((v < calm).cast("double")).alias("calm_share"), F.percentile(v, 0.25).alias("quartile"))
+
+
+def first_where(rows: DataFrame, *, group: list[str], order: str, conditions: list[Column]) -> DataFrame:
+    """(*group, at): the first place where all conditions hold; groups without one are left out. One aggregation, no window."""
+    met = F.lit(True)
+    for condition in conditions:
+        met = met & condition
+    return rows.where(met).groupBy(*group).agg(F.min(order).alias("at"))

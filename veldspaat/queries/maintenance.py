@@ -242,11 +242,11 @@ QUERIES = {
     )
 }
 SQL = {
-    "topk_per_theme": f"""select thema, rank, rij_id, uitspraaknummer from (select *, row_number() over (partition by thema order by oordeel is not null desc, kernoverweging is not null desc,
+    "topk_per_theme": f"""select thema, rank::int as rank, rij_id, uitspraaknummer from (select *, row_number() over (partition by thema order by oordeel is not null desc, kernoverweging is not null desc,
   bindend is not null desc, coalesce(datum, '') desc, rij_id) as rank from (select * from kifid {_ONE}) where kern_klacht is not null) where rank <= 4""",
     "dedupe_first": "select uitspraaknummer, rij_id, thema from kifid where uitspraaknummer is not null qualify row_number() over (partition by uitspraaknummer order by rij_id) = 1",
     "result_order": f"select rij_id, uitspraaknummer, datum from (select * from kifid {_ONE}) order by coalesce(datum, '') desc, coalesce(uitspraaknummer, '') desc, rij_id limit 100",
-    "law_version": f"""select bwb_id, artikel, strftime(geldig_op, '%Y-%m-%d') as geldig_op, rij_id, coalesce(length(tekst), -1) as n_chars from wetgeving
+    "law_version": f"""select bwb_id, artikel, strftime(geldig_op, '%Y-%m-%d') as geldig_op, rij_id, coalesce(length(tekst), -1)::int as n_chars from wetgeving
   where geldig_op <= date '{DAY}' and coalesce(toestand_einddatum, date '9999-12-31') >= date '{DAY}'
   qualify row_number() over (partition by bwb_id, artikel order by geldig_op desc, coalesce(toestand_einddatum, date '9999-12-31') desc, rij_id desc) = 1""",
     "upsert_lastwins": """with days as (select distinct opgehaald_op from polis_levering order by 1 desc limit 2),
@@ -274,7 +274,7 @@ select strftime(opgehaald_op, '%Y-%m-%d') as opgehaald_op, count(*) as clausules
   from (select distinct rij_id, product, {squash("clausule_id")} as clausule_id, tekst from polisvoorwaarden where tekst <> '')
   join (select distinct product, {squash("clausule_id")} as clausule_id, tekst as geleverd from polis_levering where tekst is not null) using (product, clausule_id) group by rij_id""",
     "text_hash": "select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents where text is not null group by 1 having count(*) > 1",
-    "ws_norm": f"select distinct rij_id, length(tekst) as before, length({squash('tekst')}) as after from polisvoorwaarden where tekst <> '' and {squash('tekst')} <> tekst",
+    "ws_norm": f"select distinct rij_id, length(tekst)::int as before, length({squash('tekst')})::int as after from polisvoorwaarden where tekst <> '' and {squash('tekst')} <> tekst",
     "letters_norm": f"select {_LETTERS.format('kop')} as letters, count(distinct kop) as spellings, count(*) as n from polisvoorwaarden where kop is not null group by 1 having count(distinct kop) > 1",
     "clip_sentence": """with t as (select distinct rij_id, kern_klacht as t, left(kern_klacht, 400) as c from kifid where kern_klacht is not null),
 p as (select *, length(c) - 1 - nullif(strpos(reverse(c), ' .'), 0) as dot, length(c) - 1 - nullif(strpos(reverse(c), ' !'), 0) as bang,
@@ -290,7 +290,7 @@ select rij_id, case when length(t) <= 400 then t when dot > 160 then left(c, dot
   from (select unnest(regexp_extract_all(kern_klacht, '{_DATE}', 1)) as dd, unnest(regexp_extract_all(kern_klacht, '{_DATE}', 2)) as m, unnest(regexp_extract_all(kern_klacht, '{_DATE}', 3)) as y from kifid))
   where d is not null group by all""",
     "ticks_dates": "select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n from orders group by 1",
-    "marker_cut": f"""select rij_id, case when error is null then length(trim(substr(t, strpos(t, '1. '), strpos(t, '2. ') - strpos(t, '1. ')))) else -1 end as n_chars, error from (
+    "marker_cut": f"""select rij_id, (case when error is null then length(trim(substr(t, strpos(t, '1. '), strpos(t, '2. ') - strpos(t, '1. ')))) else -1 end)::int as n_chars, error from (
   select rij_id, t, case when (length(t) - length(replace(t, '1.', ''))) // 2 <> 1 then 'start ' || (length(t) - length(replace(t, '1.', ''))) // 2 || 'x'
     when (length(t) - length(replace(t, '2.', ''))) // 2 <> 1 then 'end ' || (length(t) - length(replace(t, '2.', ''))) // 2 || 'x'
     when strpos(t, '2.') <= strpos(t, '1.') then 'end before start' end as error

@@ -151,7 +151,7 @@ weights as (select q, a.term, times * ln(1 + (n - df + 0.5) / (df + 0.5)) as w
   from asked a join (select term, count(*) as df from postings group by term) f on a.term = f.term, stats),
 scored as (select q, d, round(sum(w * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / average))), 6) as score
   from postings p join weights x on p.term = x.term, stats group by all)
-select q, d, score, rank from (select *, row_number() over (partition by q order by score desc, d) as rank from scored where score > 0) where rank <= {k}"""
+select q, d, score, rank from (select *, (row_number() over (partition by q order by score desc, d))::int as rank from scored where score > 0) where rank <= {k}"""
 
 
 def _corpus_sql(c: str) -> str:

@@ -7,8 +7,8 @@ shuffled:
 1. Every window of ``length // 2`` characters is hashed, and per run of ``length - length // 2 + 1`` windows the one
    with the smallest hash is kept (all of them on ties). Equal spans of ``length`` characters keep equal windows at
    equal places, so a span can only be shared if a kept window is. About one window in forty is counted.
-2. All windows of full ``length`` around those kept windows that two owners share are hashed to 126 bits and counted;
-   the repeated ones merge into maximal intervals.
+2. All windows of full ``length`` whose own kept window two owners share are hashed to 126 bits and counted; the
+   repeated ones merge into maximal intervals.
 
 The first round only proposes; the second one decides, over all windows that can matter.
 """
@@ -81,14 +81,15 @@ def _candidates(length: int):
 
 def _windows(length: int):
     half = length // 2
+    run_of = length - half + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.drop_columns(["_text", "_places"])
             for i, (text, at) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_places").to_pylist(), strict=True)):
                 points = code_points(text)
-                starts = (np.array(at, np.int64)[:, None] + np.arange(half - length, 1)).ravel()
-                starts = np.unique(starts[(starts >= 0) & (starts + length <= len(points))])
+                short = prime_hashes(points, half)
+                starts = np.flatnonzero(np.isin(sliding(short, run_of, np.minimum), short[np.array(at)]))
                 hashes = {"_hash": prime_hashes(points, length)[starts], "_hash2": word_hashes(points, length)[starts]}
                 yield _beside(rest, np.full(len(starts), i), {"_place": starts.astype(np.int32), **hashes})
 
@@ -114,18 +115,18 @@ def shared_spans(records: DataFrame, *, ids: list[str], owner: Column, text: Col
     long, whole = T.LongType(), T.IntegerType()
     schema = T.StructType([*base.drop("_text").schema, T.StructField("_place", whole), T.StructField("_hash", long)])
 
-    def repeated(windows: DataFrame) -> DataFrame:
-        owners = windows.groupBy("_key").agg(F.min("_owner").alias("_a"), F.max("_owner").alias("_b"), F.count("*").alias("_n"))
-        return salted_join(windows, owners.where("_a < _b").select("_key", "_n"), "_key", "_n", windows.count(), "_rec")
+    def repeated(windows: DataFrame, key: list[str]) -> DataFrame:
+        owners = windows.groupBy(*key).agg(F.min("_owner").alias("_a"), F.max("_owner").alias("_b"), F.count("*").alias("_n"))
+        return salted_join(windows.drop("_owner"), owners.where("_a < _b").select(*key, "_n"), key, "_n", windows.count(), "_rec")
 
-    kept = base.mapInArrow(_candidates(length), schema).select(rec, "_owner", "_place", F.col("_hash").alias("_key"))
-    near = repeated(written(kept, "span-candidates")).groupBy("_rec").agg(F.collect_set("_place").alias("_places"))
+    kept = base.mapInArrow(_candidates(length), schema).select(rec, "_owner", "_place", "_hash")
+    near = repeated(written(kept, "span-candidates"), ["_hash"]).groupBy("_rec").agg(F.collect_set("_place").alias("_places"))
     near = written(near, "span-places")
 
     schema = schema.add(T.StructField("_hash2", long))
     found = base.withColumn("_rec", rec).join(near, "_rec").drop("_rec").mapInArrow(_windows(length), schema)
-    windows = written(found.select(rec, "_owner", "_place", F.struct("_hash", "_hash2").alias("_key")), "span-windows")
-    starts = repeated(windows).groupBy("_rec").agg(F.array_sort(F.collect_set("_place")).alias("_starts"))
+    windows = written(found.select(rec, "_owner", "_place", "_hash", "_hash2"), "span-windows")
+    starts = repeated(windows, ["_hash", "_hash2"]).groupBy("_rec").agg(F.array_sort(F.collect_set("_place")).alias("_starts"))
 
     sizes = base.select(rec, F.length("_text").alias("n_chars")).join(near.select("_rec"), "_rec", "left_semi").dropDuplicates(["_rec"])
     here = F.col("_starts")

@@ -34,6 +34,13 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["cite_extract", "cite_mask", "event_log", "clean_lines", "toc_cut", "rulings_read_back", "member_cut", "nonverbatim_gaps"])
+def test_runs_without_sql(spark, name):
+    df = entry.queries()[name](spark, FOLDER)
+    assert df.columns and df.toPandas() is not None
+
+
 def test_sql_belongs_to_queries():
     assert set(HELD) <= set(entry.queries())
 

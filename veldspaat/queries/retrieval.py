@@ -109,12 +109,16 @@ def precedent_summary(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts(ranked, query="item_id", verdict="oordeel")
 
 
-def task_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """What the composed tasks find for complaints, the tasks taken in turn: one batch per corpus."""
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """(req, functie, vraag): the whole text of each complaint as a request, the tasks taken in turn."""
     names = F.array(*[F.lit(t) for t in TASKS])
     asked = first_per_key(table(spark, folder, "kifid").where("kern_klacht is not null"), ["rij_id"], [F.col("rij_id")])
-    asked = asked.select(F.concat_ws("-", F.lit("k"), "rij_id").alias("req"), F.get(names, (F.col("rij_id") % len(TASKS)).cast("int")).alias("functie"), F.left("kern_klacht", F.lit(400)).alias("vraag"))
-    plan = planned(asked, task="functie", text="vraag")
+    return asked.select(F.concat_ws("-", F.lit("k"), "rij_id").alias("req"), F.get(names, (F.col("rij_id") % len(TASKS)).cast("int")).alias("functie"), F.col("kern_klacht").alias("vraag"))
+
+
+def task_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What the composed tasks find for complaints, the tasks taken in turn: one batch per corpus."""
+    plan = planned(_requests(spark, folder), task="functie", text="vraag")
     parts = []
     for c in CORPORA:
         mine = plan.where(F.col("corpus") == c)

@@ -10,3 +10,14 @@ def test_tasks_search_whole_complaints(spark, tmp_path):
     asked = {r.functie: r.question for r in planned(retrieval._requests(spark, str(tmp_path)), task="functie", text="vraag").collect()}
     assert asked["dekkingscheck"] == asked["precedentzoeker"] == asked["begripsuitleg"] == text
     assert asked["polisvergelijker"].startswith(text) and asked["afwijzingsanalyse"].startswith(text[:600] + " afwijzing")
+
+
+def test_tasks_search_all_fixed_words(spark):
+    """The words of the reference's features.py, both lines of each string."""
+    asked = spark.createDataFrame([(t, "brief") for t in ("dossiercheck", "klachtroute", "afwijzingsanalyse", "adviesnotitie")], "taak string, vraag string")
+    assert {r.taak: r.question for r in planned(asked, task="taak", text="vraag").collect()} == {
+        "dossiercheck": "passend advies klantprofiel zorgplicht informatieverstrekking kennis ervaring doelstelling risicobereidheid financiele positie",
+        "klachtroute": "klachtprocedure Kifid ontvankelijkheid termijn bindend advies geschilleninstantie interne klachtbehandeling",
+        "afwijzingsanalyse": "brief afwijzing dekking uitsluiting mededelingsplicht opzet eigen gebrek",
+        "adviesnotitie": "passend advies vastlegging dossier informatieverstrekking klantprofiel motivering",
+    }

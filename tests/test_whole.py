@@ -1,7 +1,7 @@
 """Queries that do the whole job: nothing is cut before it is searched, ordered, folded or named."""
 
 from veldspaat.plans.tasks import planned
-from veldspaat.queries import retrieval
+from veldspaat.queries import maintenance, retrieval
 
 
 def test_tasks_search_whole_complaints(spark, tmp_path):
@@ -21,3 +21,11 @@ def test_tasks_search_all_fixed_words(spark):
         "afwijzingsanalyse": "brief afwijzing dekking uitsluiting mededelingsplicht opzet eigen gebrek",
         "adviesnotitie": "passend advies vastlegging dossier informatieverstrekking klantprofiel motivering",
     }
+
+
+def test_every_ruling_is_ordered(spark, tmp_path):
+    days = [f"20{n % 25:02d}-01-01" if n % 9 else None for n in range(250)]
+    rows = [(n, f"2020-{n % 40:03d}" if n % 7 else None, d) for n, d in enumerate(days)]
+    spark.createDataFrame(rows, "rij_id long, uitspraaknummer string, datum string").write.parquet(f"{tmp_path}/kifid.parquet")
+    want = sorted(sorted(rows), key=lambda r: (r[2] or "", r[1] or ""), reverse=True)
+    assert list(map(tuple, maintenance.result_order(spark, str(tmp_path)).collect())) == want

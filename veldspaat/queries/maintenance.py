@@ -35,9 +35,9 @@ def dedupe_first(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def result_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred latest rulings, by date and number."""
+    """All rulings in order, the latest first, by date and number."""
     rows = _rulings(spark, folder).orderBy(F.desc(F.coalesce("datum", F.lit(""))), F.desc(F.coalesce("uitspraaknummer", F.lit(""))), F.asc("rij_id"))
-    return rows.select("rij_id", "uitspraaknummer", "datum").limit(100)
+    return rows.select("rij_id", "uitspraaknummer", "datum")
 
 
 def law_version(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries that do the whole job: nothing is cut before it is searched, ordered, folded or named."""
 
+import datetime as dt
+
 from veldspaat.plans.tasks import planned
 from veldspaat.queries import maintenance, retrieval
 
@@ -29,3 +31,12 @@ def test_every_ruling_is_ordered(spark, tmp_path):
     spark.createDataFrame(rows, "rij_id long, uitspraaknummer string, datum string").write.parquet(f"{tmp_path}/kifid.parquet")
     want = sorted(sorted(rows), key=lambda r: (r[2] or "", r[1] or ""), reverse=True)
     assert list(map(tuple, maintenance.result_order(spark, str(tmp_path)).collect())) == want
+
+
+def test_upsert_folds_every_delivery(spark, tmp_path):
+    d, t = dt.date, dt.datetime
+    rows = [("P", "1", "oud", d(2020, 1, 1), t(2020, 1, 2)), ("P", "1", "nieuw", d(2023, 1, 1), t(2023, 1, 2)), ("P", "2", "eerst", d(2020, 1, 1), t(2020, 1, 2)), ("P", "2", None, d(2020, 1, 1), t(2020, 1, 9))]
+    rows += [("P", "3", "vier", d(2021, 1, 1), t(2021, 1, 2)), ("P", "4", "x", d(2022, 1, 1), t(2022, 1, 2)), ("Q", "1", "laat", d(2021, 1, 1), t(2024, 1, 1)), ("Q", "1", "einde", d(2022, 1, 1), t(2022, 1, 1))]
+    spark.createDataFrame(rows, "product string, clausule_id string, tekst string, opgehaald_op date, ingelezen_op timestamp").write.parquet(f"{tmp_path}/polis_levering.parquet")
+    got = {tuple(r) for r in maintenance.upsert_lastwins(spark, str(tmp_path)).collect()}
+    assert got == {("2020-01-01", 1, 0), ("2021-01-01", 1, 4), ("2022-01-01", 2, 6), ("2023-01-01", 1, 5)}

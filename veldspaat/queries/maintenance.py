@@ -9,7 +9,7 @@ from veldspaat.functions.text import after_contents, between, clipped, collapse,
 from veldspaat.operators.gate import redirect_verified
 from veldspaat.operators.profiles import band_statistics, runs, steepest, trailing_and_following
 from veldspaat.operators.quality import TYPES, containment, mixed_hashes, report, row_violations
-from veldspaat.operators.ranking import capped, first_per_key, label, last_per_key, numbered, seeded, top_per_group, viewport, words_in
+from veldspaat.operators.ranking import capped, first_per_key, label, numbered, seeded, top_per_group, viewport, words_in
 from veldspaat.operators.versions import version_on
 from veldspaat.queries.sqltext import collapse as squash
 from veldspaat.sources.tables import table
@@ -48,15 +48,9 @@ def law_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_lastwins(spark: SparkSession, folder: str) -> DataFrame:
-    """The last two deliveries as one state: clauses of the last replace those of the one before."""
-    rows = table(spark, folder, "polis_levering").select("product", "clausule_id", "tekst", "opgehaald_op", "ingelezen_op")
-    days = rows.select("opgehaald_op").distinct().orderBy(F.desc("opgehaald_op")).limit(2)
-    rows = rows.join(F.broadcast(days), "opgehaald_op")
-    state = rows.groupBy("product", "clausule_id", "opgehaald_op").agg(F.max(F.struct("ingelezen_op", F.coalesce("tekst", F.lit("")))).alias("_row")).select("product", "clausule_id", "opgehaald_op", F.col("_row.col2").alias("tekst"))
-    newest = F.broadcast(days.agg(F.max("opgehaald_op").alias("_last")))
-    new = state.join(newest, F.col("opgehaald_op") == F.col("_last")).drop("_last")
-    old = state.join(newest, F.col("opgehaald_op") < F.col("_last")).drop("_last")
-    whole = last_per_key(old, new, ["product", "clausule_id"])
+    """All deliveries as one state: a clause of a later delivery replaces that of every earlier one."""
+    row = F.struct("opgehaald_op", "ingelezen_op", F.coalesce("tekst", F.lit("")).alias("tekst"))
+    whole = table(spark, folder, "polis_levering").groupBy("product", "clausule_id").agg(F.max(row).alias("_row")).select("_row.opgehaald_op", "_row.tekst")
     return whole.groupBy(F.date_format("opgehaald_op", "yyyy-MM-dd").alias("opgehaald_op")).agg(F.count("*").alias("clausules"), F.sum(F.length("tekst")).alias("n_chars"))
 
 

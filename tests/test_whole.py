@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from veldspaat.operators.ranking import label
 from veldspaat.plans.tasks import planned
 from veldspaat.queries import maintenance, retrieval
 
@@ -40,3 +43,22 @@ def test_upsert_folds_every_delivery(spark, tmp_path):
     spark.createDataFrame(rows, "product string, clausule_id string, tekst string, opgehaald_op date, ingelezen_op timestamp").write.parquet(f"{tmp_path}/polis_levering.parquet")
     got = {tuple(r) for r in maintenance.upsert_lastwins(spark, str(tmp_path)).collect()}
     assert got == {("2020-01-01", 1, 0), ("2021-01-01", 1, 4), ("2022-01-01", 2, 6), ("2023-01-01", 1, 5)}
+
+
+def test_labels_of_any_length(spark):
+    def name(n):
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    places = [1, 26, 27, 702, 703, 18278, 18279, 18280, 475254, 475255, 12356630, 12356631, 2**53 + 1, *range(18200, 18400), 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in places], "n long").select("n", label(F.col("n")).alias("y")).collect()
+    assert [r.y for r in got] == [name(r.n) for r in got]
+
+
+def test_every_ruling_is_labelled(spark, tmp_path):
+    spark.range(18300).select(F.col("id").alias("rij_id")).write.parquet(f"{tmp_path}/kifid.parquet")
+    got = maintenance.blind_labels(spark, str(tmp_path)).toPandas()
+    assert len(got) == got.label.nunique() == 18300 and dict(zip(got.n, got.label))[18279] == "AAAA"

@@ -48,19 +48,15 @@ def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
 
 def label(n: Column) -> Column:
-    """Letters for 1, 2, ...: A to Z, AA to ZZ, AAA and so on."""
-    a = F.lit(ord("A"))
-
-    def letter(x: Column) -> Column:
-        return F.char(a + x % 26)
-
-    i = n - 1
-    two, three = i - 26, i - 26 - 26 * 26
-    return (
-        F.when(i < 26, letter(i))
-        .when(two < 26 * 26, F.concat(letter(F.floor(two / 26)), letter(two)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
-    )
+    """Letters for 1, 2, ...: A to Z, AA to ZZ, AAA and so on, as many as the place needs: a long has at most fourteen."""
+    n = n.cast("long")
+    first = [(26 ** (p + 1) - 1) // 25 for p in range(14)]  # the first place whose label has a letter at p from the right
+
+    def letter(p: int) -> Column:
+        i = F.call_function("div", n - first[p], F.lit(26**p))
+        return F.when(n >= first[p], F.char(ord("A") + i % 26)).otherwise("")
+
+    return F.when(n >= 1, F.concat(*[letter(p) for p in reversed(range(14))]))
 
 
 def capped(rows: DataFrame, group: list[str], order: list[Column], k: int, exempt: Column) -> DataFrame:

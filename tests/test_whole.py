@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from veldspaat.functions.text import without_furniture
 from veldspaat.operators.ranking import label
 from veldspaat.plans.tasks import planned
 from veldspaat.queries import maintenance, retrieval
@@ -62,3 +63,13 @@ def test_every_ruling_is_labelled(spark, tmp_path):
     spark.range(18300).select(F.col("id").alias("rij_id")).write.parquet(f"{tmp_path}/kifid.parquet")
     got = maintenance.blind_labels(spark, str(tmp_path)).toPandas()
     assert len(got) == got.label.nunique() == 18300 and dict(zip(got.n, got.label))[18279] == "AAAA"
+
+
+def test_all_furniture_goes(spark):
+    heads = ["Voorwaarden arbeidsongeschiktheidsverzekering model 12  3/40", " Voorwaarden Woonverzekering ", "2. Wettelijke Aansprakelijkheid (WA)", "3. Volledig Casco", "4. Beperkt Casco"]
+    kept = ["Schade door Terrorisme", "Totale schade", "Teruggevonden auto", "Voorwaarden Woonverzekering gelden", "3. Volledig Casco dekt"]
+    raw = "\n".join(x for pair in zip(heads, kept) for x in pair)
+    for word in ("errorisme", "otale", "eruggevonden"):
+        raw = raw.replace("T" + word, "T " + word)
+    got = spark.createDataFrame([(raw,)], "t string").select(without_furniture(F.col("t")).alias("t")).first().t
+    assert got == "\n".join(kept)

@@ -99,13 +99,20 @@ def chunks(text: Column, width: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
 
-#: Lines that a printed page adds: bare page numbers, page marks, links back, glyphs. Fixed values.
-FURNITURE = r"^\s*(\d{1,3}|\*\s*Zie Begrippen|terug naar inhoud\s*>|Algemene voorwaarden|Pagina \d+/\d+|\d+ van\s?\d+ (Verzekeringsvoorwaarden|Algemene voorwaarden) .*|°)\s*$"
+#: Lines that a printed page adds: bare page numbers, page marks, links back, running heads, glyphs. Fixed values.
+FURNITURE = (
+    r"^\s*(\d{1,3}|\*\s*Zie Begrippen|terug naar inhoud\s*>|Algemene voorwaarden|Voorwaarden Woonverzekering|Pagina \d+/\d+|\d+ van\s?\d+ (Verzekeringsvoorwaarden|Algemene voorwaarden) .*|°"
+    r"|Voorwaarden arbeidsongeschiktheidsverzekering model \d+\s+\d+/\d+|\d+\. (Wettelijke Aansprakelijkheid \(WA\)|Volledig Casco|Beperkt Casco))\s*$"
+)
+#: Words whose first letter a print sets apart. Fixed values.
+SPLIT_WORDS = {"T errorisme": "Terrorisme", "T otale": "Totale", "T eruggevonden": "Teruggevonden"}
 
 
 def without_furniture(text: Column) -> Column:
-    """Page furniture lines dropped, hyphenation at line ends undone, soft hyphens removed, spaces and blank lines reduced."""
+    """Page furniture lines dropped, split words and hyphenation at line ends undone, soft hyphens removed, spaces and blank lines reduced."""
     bare = F.regexp_replace(text, "[­﻿]", "")
+    for apart, word in SPLIT_WORDS.items():
+        bare = F.replace(bare, F.lit(apart), F.lit(word))
     lines = F.transform(F.filter(F.split(bare, "\n"), lambda r: ~r.rlike(FURNITURE)), lambda r: F.rtrim(r))
     out = F.regexp_replace(F.array_join(lines, "\n"), "(?<=[a-zà-öø-ÿ])-\n(?=[a-zà-öø-ÿ])", "")
     return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n")

@@ -19,7 +19,7 @@ def test_tasks_search_whole_complaints(spark, tmp_path):
 
 
 def test_tasks_search_all_fixed_words(spark):
-    """The words of the reference's features.py, both lines of each string."""
+    """All words of each task."""
     asked = spark.createDataFrame([(t, "brief") for t in ("dossiercheck", "klachtroute", "afwijzingsanalyse", "adviesnotitie")], "taak string, vraag string")
     assert {r.taak: r.question for r in planned(asked, task="taak", text="vraag").collect()} == {
         "dossiercheck": "passend advies klantprofiel zorgplicht informatieverstrekking kennis ervaring doelstelling risicobereidheid financiele positie",

@@ -239,21 +239,20 @@ SQL = {
     "topk_per_theme": f"""select thema, rank::int as rank, rij_id, uitspraaknummer from (select *, row_number() over (partition by thema order by oordeel is not null desc, kernoverweging is not null desc,
   bindend is not null desc, coalesce(datum, '') desc, rij_id) as rank from (select * from kifid {_ONE}) where kern_klacht is not null) where rank <= 4""",
     "dedupe_first": "select uitspraaknummer, rij_id, thema from kifid where uitspraaknummer is not null qualify row_number() over (partition by uitspraaknummer order by rij_id) = 1",
-    "result_order": f"select rij_id, uitspraaknummer, datum from (select * from kifid {_ONE}) order by coalesce(datum, '') desc, coalesce(uitspraaknummer, '') desc, rij_id limit 100",
+    "result_order": f"select rij_id, uitspraaknummer, datum from (select * from kifid {_ONE}) order by coalesce(datum, '') desc, coalesce(uitspraaknummer, '') desc, rij_id",
     "law_version": f"""select bwb_id, artikel, strftime(geldig_op, '%Y-%m-%d') as geldig_op, rij_id, coalesce(length(tekst), -1)::int as n_chars from wetgeving
   where geldig_op <= date '{DAY}' and coalesce(toestand_einddatum, date '9999-12-31') >= date '{DAY}'
   qualify row_number() over (partition by bwb_id, artikel order by geldig_op desc, coalesce(toestand_einddatum, date '9999-12-31') desc, rij_id desc) = 1""",
-    "upsert_lastwins": """with days as (select distinct opgehaald_op from polis_levering order by 1 desc limit 2),
-state as (select product, clausule_id, opgehaald_op, coalesce(tekst, '') as tekst from polis_levering where opgehaald_op in (from days)
-  qualify row_number() over (partition by product, clausule_id, opgehaald_op order by ingelezen_op desc, coalesce(tekst, '') desc) = 1),
-latest as (select * from state qualify row_number() over (partition by product, clausule_id order by opgehaald_op desc) = 1)
+    "upsert_lastwins": """with latest as (select product, clausule_id, opgehaald_op, coalesce(tekst, '') as tekst from polis_levering
+  qualify row_number() over (partition by product, clausule_id order by opgehaald_op desc nulls last, ingelezen_op desc nulls last, coalesce(tekst, '') desc) = 1)
 select strftime(opgehaald_op, '%Y-%m-%d') as opgehaald_op, count(*) as clausules, sum(length(tekst))::bigint as n_chars from latest group by 1""",
     "upsert_anti": "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 0)",
     "cap_per_host": """select doc_id, host, source from (select * from documents where source is not null qualify row_number() over (partition by host order by doc_id) <= 3)
   union all select doc_id, host, source from documents where source is null""",
     "seeded_sample": "select doc_id, md5('20260913:' || doc_id) as draw from documents order by draw, doc_id limit 100",
     "blind_labels": f"""select rij_id, n, case when n <= 26 then chr(64 + n::int) when n <= 702 then chr(65 + ((n - 27) // 26)::int) || chr(65 + ((n - 27) % 26)::int)
-  when n <= 18278 then chr(65 + ((n - 703) // 676)::int) || chr(65 + ((n - 703) // 26 % 26)::int) || chr(65 + ((n - 703) % 26)::int) end as label
+  when n <= 18278 then chr(65 + ((n - 703) // 676)::int) || chr(65 + ((n - 703) // 26 % 26)::int) || chr(65 + ((n - 703) % 26)::int)
+  else chr(65 + ((n - 18279) // 17576)::int) || chr(65 + ((n - 18279) // 676 % 26)::int) || chr(65 + ((n - 18279) // 26 % 26)::int) || chr(65 + ((n - 18279) % 26)::int) end as label
   from (select rij_id, row_number() over (order by md5('7:' || rij_id), rij_id) as n from (select * from kifid {_ONE}))""",
     "leak_words": f"select doc_id, words from (select doc_id, array_to_string(list_filter({WORDS!r}, lambda w: contains(lower(url), w)), ',') as words from documents) where words <> ''",
     "viewport_class": """select case when contains(n, 'mobile') or regexp_matches(n, '[_-]390(?:[x_.-]|$)') then 'mobile'

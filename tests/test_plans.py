@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from veldspaat.plans.joins import salted_join, sized_join
+from veldspaat.plans.joins import bytes_of, matched, salted_join, sized_join
 from veldspaat.plans.pairs import pairs_within
 from veldspaat.plans.shared import release, shared_folder, written
 from veldspaat.sources.tables import spread
@@ -25,8 +25,24 @@ def test_salted_join_equals_join_with_a_hot_key(spark):
 
 def test_sized_join_both_ways(spark):
     a, b = spark.range(100).withColumn("x", F.lit(1)), spark.range(50)
-    assert sized_join(a, b, ["id"], rows=10).count() == sized_join(a, b, ["id"], rows=1000).count() == 50
-    assert "BroadcastHashJoin" in sized_join(a, b, ["id"], rows=1000)._jdf.queryExecution().toString()
+    assert bytes_of(b) == 400
+    assert sized_join(a, b, ["id"], most=399).count() == sized_join(a, b, ["id"], most=400).count() == 50
+    assert "BroadcastHashJoin" in sized_join(a, b, ["id"], most=400)._jdf.queryExecution().toString()
+
+
+def test_bytes_of_values(spark):
+    df = spark.createDataFrame([("abcd", [1, 2], ["é", None], None, 1), (None, None, None, {"x": 1}, None)], "s string, a array<int>, t array<string>, m map<string,int>, n int")
+    assert bytes_of(df.select("s")) == 36 and bytes_of(df.select("a")) == 16 + 16 + 16 and bytes_of(df.select("n")) == 16
+    assert bytes_of(df.select("t")) == 16 + 18 + 16 + 16 and bytes_of(df.select("m")) > 32
+    assert bytes_of(df.where("n > 5")) == 0
+
+
+def test_matched_equals_join_with_hot_keys_on_both_sides(spark):
+    left = spark.range(900).select(F.when(F.col("id") < 300, 1).when(F.col("id") > 890, F.lit(None)).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("x"))
+    right = spark.range(400).select(F.when(F.col("id") < 130, 1).when(F.col("id") > 390, F.lit(None)).otherwise(F.col("id") % 70).alias("k"), F.col("id").alias("y"))
+    want = sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+    for kind in ({"most": 0, "share": 0.1, "least": 10, "salts": 4}, {"most": 1 << 20}):
+        assert sorted(map(tuple, matched(left, right, ["k"], "x", "y", **kind).select("k", "x", "y").collect())) == want
 
 
 def test_pairs_in_blocks_equal_all_pairs(spark):

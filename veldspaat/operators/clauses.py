@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veldspaat.functions.text import between
 from veldspaat.plans.joins import sized_join
+from veldspaat.plans.shared import written
 
 #: Equal stretches shorter than this are chance.
 BLOCK = 25
@@ -20,7 +21,7 @@ def cut_clauses(documents: DataFrame, specs: DataFrame, *, on: str, text: str, s
 
     Specs of an unknown document give no row; a marker that isn't there exactly once gives an error, not a guess.
     """
-    joined = sized_join(documents.select(on, F.col(text).alias("_text")), specs, [on])
+    joined = sized_join(documents.select(on, F.col(text).alias("_text")), written(specs, "specs"), [on])
     done = joined.withColumn("_cut", between(F.col("_text"), F.col(start), F.col(end)))
     return done.select(*specs.columns, F.col("_cut.cut").alias("cut"), F.col("_cut.error").alias("error"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldspaat.functions.citations import clause_keys, law_keys, masked, references, ruling_keys
 from veldspaat.plans.joins import sized_join
+from veldspaat.plans.shared import written
 
 
 def key_table(laws: DataFrame | None = None, rulings: DataFrame | None = None, clauses: DataFrame | None = None, *, by: list[str] | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def cited(texts: DataFrame, *, item: str, text: Column, by: list[str] | None = N
 def checked(references: DataFrame, keys: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     """``references`` with column gefundeerd. References without a colon count as articles only if they are grounded."""
     on = [*(by or []), "soort", "verwijzing"]
-    joined = sized_join(references, keys.withColumn("_known", F.lit(True)), on, "left")
+    joined = sized_join(references, written(keys.withColumn("_known", F.lit(True)), "keys"), on, "left")
     grounded = F.coalesce("_known", F.lit(False))
     silent = (F.col("soort") == "wetsartikel") & ~F.contains("verwijzing", F.lit(":")) & ~grounded
     return joined.where(~silent).withColumn("gefundeerd", grounded).drop("_known")

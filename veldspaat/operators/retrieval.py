@@ -1,7 +1,7 @@
-"""Lexical retrieval: BM25 for a batch of queries over a table of texts.
+"""Lexical retrieval: BM25 for batches of queries over a table of texts.
 
-Tokens are exploded with explode_outer and a filter behind it: for a plain explode the optimizer adds a test that the
-array isn't empty, and with it a second tokenization of every text below the next shuffle.
+The index is one written row per text with its counted terms: a text is tokenized once, terms are counted where they
+stand, by sorting them inside the row, and everything else is read from the index, only the columns needed.
 """
 
 from __future__ import annotations
@@ -9,20 +9,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspaat.functions.text import tokens
+from veldspaat.functions.text import let, tokens
 from veldspaat.plans.joins import sized_join
+from veldspaat.plans.shared import written
 
 K1, B = 1.5, 0.75
 
 
-def term_counts(texts: DataFrame, *, item: str, text: Column) -> DataFrame:
-    """(item, n_tokens, term, tf) of every distinct term of every text. Texts without a token give no row."""
-    spelt = texts.select(item, tokens(text).alias("_t")).select(item, F.size("_t").alias("n_tokens"), F.explode_outer("_t").alias("term")).where("term is not null")
-    return spelt.groupBy(item, "n_tokens", "term").agg(F.count("*").alias("tf"))
+def counted(terms: Column) -> Column:
+    """array(term, tf) of an array of terms, in order of the terms."""
+
+    def heads(ordered: Column) -> Column:
+        return F.array_compact(F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)))
+
+    def runs(ordered: Column, at: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(at, j + 1), F.size(ordered))
+        return F.transform(at, lambda i, j: F.struct(F.get(ordered, i).alias("term"), (end(j) - i).alias("tf")))
+
+    return let(F.sort_array(terms), lambda ordered: let(heads(ordered), lambda at: runs(ordered, at)))
+
+
+def term_index(texts: DataFrame, *, item: str, text: Column) -> DataFrame:
+    """(item, n_tokens, terms): every text with its distinct terms and how often each occurs, written once, nothing shuffled.
+
+    A text without tokens, or null, has no terms and counts as one of length 0.
+    """
+    spelt = texts.select(item, tokens(text).alias("_t"))
+    return written(spelt.select(item, F.size("_t").alias("n_tokens"), counted(F.col("_t")).alias("terms")), "terms")
 
 
 def document_frequencies(texts: DataFrame, *, text: Column) -> DataFrame:
-    """(term, df): the number of texts each term is in, counted without ids: a text's terms are made distinct in place."""
+    """(term, df): the number of texts each term is in, counted without ids: a text's terms are made distinct in place.
+
+    Terms are exploded with explode_outer and a filter behind it: for a plain explode the optimizer adds a test that the
+    array isn't empty, and with it a second tokenization of every text.
+    """
     return texts.select(F.explode_outer(F.array_distinct(tokens(text))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -32,24 +53,31 @@ def length_statistics(texts: DataFrame, *, text: Column) -> DataFrame:
     return sizes.select(F.greatest("n", F.lit(1)).alias("n_docs"), F.col("t").alias("n_tokens"), (F.col("t") / F.greatest("n", F.lit(1))).alias("average"))
 
 
-def bm25(texts: DataFrame, queries: DataFrame, *, item: str, text: Column, query: str, query_text: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, item, score, rank): the ``k`` best texts of each query, ties by item.
+def bm25_search(index: DataFrame, queries: DataFrame, *, item: str, query: str, query_text: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, item, score, rank): the ``k`` best texts of an index for each query, ties by item.
 
     A term that a query has twice counts twice. Texts that share no term with a query don't appear, a query without
-    tokens has no rows. Only two numbers about the texts reach the driver. Tokens that no query has are dropped before
-    anything is shuffled; the terms of the batch are broadcast if a count shows they are few. The one shuffle is by text,
-    so counting terms and adding up scores both happen where a text's tokens are. The window that ranks keeps ``k`` rows
-    per query on each task before it shuffles.
+    tokens has no rows. Only two numbers about the texts reach the driver, read from the column of lengths. The terms of
+    the batch and their weights are broadcast if their bytes allow it. What no query asks for is dropped before the one
+    shuffle of the index, which is by text, so that scores are added up where a text's terms are; the window that ranks
+    keeps ``k`` rows per query on each task before it shuffles.
     """
-    size = length_statistics(texts, text=text).first()
+    size = index.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
+    n = float(max(size["n"], 1))
+    average = (size["t"] or 0) / n or 1.0
     asked = queries.select(F.col(query).alias("_q"), F.explode_outer(tokens(query_text)).alias("term")).where("term is not null").groupBy("_q", "term").agg(F.count("*").alias("_times"))
-    spelt = texts.select(F.col(item).alias("_d"), tokens(text).alias("_t")).select("_d", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term")).where("term is not null")
-    postings = sized_join(spelt, asked.select("term").distinct(), ["term"], "left_semi").repartition("_d").groupBy("_d", "_len", "term").agg(F.count("*").alias("_tf"))
+    asked = written(asked, "terms-asked")
+    postings = index.select(F.col(item).alias("_d"), F.col("n_tokens").alias("_len"), F.inline_outer("terms")).where("term is not null")
+    postings = sized_join(postings, asked.select("term"), ["term"], "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
-    n, average = float(size["n_docs"]), float(size["average"]) or 1.0
     weight = F.col("_times") * F.log1p((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = asked.join(frequency, "term").select("_q", "term", weight.alias("_w"))
-    part = F.col("_w") * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / average))
-    scored = sized_join(postings, weights, ["term"]).groupBy("_q", "_d").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    weights = written(asked.join(frequency, "term").select("_q", "term", weight.alias("_w")), "terms-weights")
+    part = F.col("_w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / average))
+    scored = sized_join(postings.repartition("_d"), weights, ["term"]).groupBy("_q", "_d").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("_d")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query), F.col("_d").alias(item), "score", "rank")
+
+
+def bm25(texts: DataFrame, queries: DataFrame, *, item: str, text: Column, query: str, query_text: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25_search`` over texts that are indexed for this one batch; keep a ``term_index`` to search texts more often."""
+    return bm25_search(term_index(texts, item=item, text=text), queries, item=item, query=query, query_text=query_text, k=k, k1=k1, b=b)

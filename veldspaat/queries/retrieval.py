@@ -10,6 +10,8 @@ from veldspaat.operators.gate import audited, gate_status, usable
 from veldspaat.operators.passages import block, contexts, listed, verdicts
 from veldspaat.operators.ranking import first_per_key
 from veldspaat.operators.retrieval import bm25, document_frequencies, length_statistics
+from veldspaat.plans.joins import sized_join
+from veldspaat.plans.shared import written
 from veldspaat.plans.tasks import TASKS, planned
 from veldspaat.queries import sqltext
 from veldspaat.sources.corpora import FIELDS
@@ -79,6 +81,13 @@ def _fanout(spark: SparkSession, folder: str, name: str, k: int) -> DataFrame:
     return bm25(corpus(spark, folder, name), items, item="rij_id", text=_text(name), query="item_id", query_text=joined(F.col("onderwerp"), F.col("tekst")), k=k)
 
 
+def _hits(spark: SparkSession, folder: str, name: str, k: int) -> DataFrame:
+    """The records that the test items find, whole: few rows, joined to the plain table, whose repeats are dropped after that."""
+    hits = written(_fanout(spark, folder, name, k), "hits")
+    found = sized_join(table(spark, folder, name), hits, ["rij_id"])
+    return found.dropDuplicates(["item_id", "rank"])
+
+
 def bm25_fanout(spark: SparkSession, folder: str) -> DataFrame:
     """The four best records of every corpus for each test item."""
     parts = [_fanout(spark, folder, c, 4).withColumn("corpus", F.lit(c)) for c in CORPORA]
@@ -87,26 +96,19 @@ def bm25_fanout(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_list(spark: SparkSession, folder: str) -> DataFrame:
     """The source list of each test item: three records of every corpus with label, title and fragment."""
-    parts = []
-    for c in CORPORA:
-        hits = _fanout(spark, folder, c, 3)
-        parts.append(corpus(spark, folder, c).join(hits, "rij_id").select("item_id", "rank", *listed(c)))
+    parts = [_hits(spark, folder, c, 3).select("item_id", "rank", *listed(c)) for c in CORPORA]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
     """The context of each test item: titled sections with three passages of every corpus."""
-    parts = []
-    for c in CORPORA:
-        hits = _fanout(spark, folder, c, 3)
-        parts.append(corpus(spark, folder, c).join(hits, "rij_id").select("item_id", F.lit(c).alias("corpus"), "rank", block(c).alias("passage")))
+    parts = [_hits(spark, folder, c, 3).select("item_id", F.lit(c).alias("corpus"), "rank", block(c).alias("passage")) for c in CORPORA]
     return contexts(parts[0].unionByName(parts[1]).unionByName(parts[2]), query="item_id")
 
 
 def precedent_summary(spark: SparkSession, folder: str) -> DataFrame:
     """How the verdicts of the eight closest rulings are spread, for each test item."""
-    ranked = corpus(spark, folder, "kifid").select("rij_id", "oordeel").join(_fanout(spark, folder, "kifid", 8), "rij_id")
-    return verdicts(ranked, query="item_id", verdict="oordeel")
+    return verdicts(_hits(spark, folder, "kifid", 8).select("item_id", "rank", "oordeel"), query="item_id", verdict="oordeel")
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +201,7 @@ def _task_sql(c: str) -> str:
         if c in corpora:
             own = "v" if most is None else f"left(v, {most})"
             cases.append(f"select 'k-' || rij_id as q, '{t}' as functie, {depth} as depth, trim(concat_ws(' ', {own}, '{words}')) as text from asked where rij_id % {len(TASKS)} = {i}")
-    asked = "(select rij_id, left(kern_klacht, 400) as v from kifid where kern_klacht is not null qualify row_number() over (partition by rij_id) = 1)"
+    asked = "(select rij_id, kern_klacht as v from kifid where kern_klacht is not null qualify row_number() over (partition by rij_id) = 1)"
     mine = " union all ".join(cases).replace("from asked", f"from {asked}")
     hits = _bm25_sql(f"select rij_id as d, {sqltext.joined(*FIELDS[c])} as text from {_corpus_sql(c)}", f"select q, text from ({mine})", 8)
     return f"select h.q as req, d as rij_id, score, rank, functie, '{c}' as corpus from ({hits}) h join ({mine}) m on h.q = m.q where rank <= depth"

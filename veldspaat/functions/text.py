@@ -19,9 +19,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+#: White space other than the space itself. Fixed values.
+OTHER_SPACE = SPACE.replace(r"\x{20}", "")
+
+
 def collapse(text: Column) -> Column:
-    """Every run of Unicode white space made one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Every run of Unicode white space made one space, ends trimmed; single spaces are passed over, not replaced."""
+    return F.trim(F.regexp_replace(text, f" {SPACE}+|{OTHER_SPACE}{SPACE}*", " "))
+
 
 #: Dutch words that carry no content in retrieval; niet and geen are kept, as they decide questions of cover. Fixed values.
 STOPWORDS = tuple(

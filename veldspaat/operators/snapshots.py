@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldspaat.plans.shared import written
+
 #: Snapshot dates that are held as a list: days of 270 years.
 MAX_DATES = 100_000
 
 
 def row_hash(columns: list[Column]) -> Column:
-    """64-bit hash of the values in order. A null differs from every value, and from a null elsewhere."""
-    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("0")) for c in columns])
+    """128-bit hash of the values in order, as a struct of two longs, the second hashed from another seed.
+
+    A null differs from every value, and from a null elsewhere.
+    """
+    values = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("0")) for c in columns]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
 
 
 def _calendar(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -45,9 +51,9 @@ def snapshot_changes(
     with. A null key is a key of its own, a null version the oldest. Two nulls are equal, null and a value aren't.
     An empty table, or one snapshot, gives no rows.
 
-    The texts are hashed where they are read, so only keys and two longs are shuffled. Each side is reduced to one row
-    per key before and after its shuffle, on just the columns of the full outer join, which adds no exchange: a key
-    that holds a third of all rows comes down to one row per task first.
+    The texts are read and hashed once, into a written table of keys and hashes; both sides of the comparison are read
+    from there. Each side is reduced to one row per key before and after its shuffle, on just the columns of the full
+    outer join, which adds no exchange: a key that holds a third of all rows comes down to one row per task first.
     """
     names = list(keys)
     null = [f"_null_{k}" for k in names]
@@ -57,7 +63,8 @@ def snapshot_changes(
         F.col(snapshot).cast("date").alias("_at"),
         F.struct(F.col(version).alias("version"), row_hash(content).alias("content"), row_hash(imprint).alias("imprint")).alias("_row"),
     )
-    calendar = _calendar(df.select(F.col(snapshot).cast("date").alias("_at")), df.sparkSession)
+    rows = written(rows.where("_at is not null"), "snapshots-hashed")
+    calendar = _calendar(rows.select("_at"), df.sparkSession)
     on = ["_at", *names, *null]
 
     def side(rows: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Pages made of repeated keywords, lists of links or product labels instead of sentences.
 
-A page is cut into segments, lines and the sentences in them. Term recurrence gaps are read off as positional
-autocorrelation: for every lag up to LAGS words, which words equal the word that many places before. A segment is
-'repeats' if, with its neighbours, most of its content words recur within the lag window; 'links' if it holds an address
-and next to no function words; 'list' if it strings content words together without function words. The page's score is
-the part of its characters in such segments. Whole batches are worked on as arrays; a page's text never leaves its task
-and nothing is shuffled.
+Function words are found from the corpus itself: short words that a large part of a language's pages have. A page is cut
+into segments, lines and the sentences in them, and the recurrence gaps of every content word over the whole page are
+read off. Two things are unnatural: gaps that stay the same, so that the page's positional autocorrelation has a peak,
+whatever its lag, at which most content words recur; and content words that nearly all recur within a few words. A
+segment is 'repeats' if, with its neighbours, most of its content words recur in one of these ways; 'links' if it holds
+an address and next to no function words; 'list' if it strings content words together without function words, most of
+them different. The page's score is the part of its characters in such segments. Whole batches are worked on as arrays;
+a page's text never leaves its task, and only counts of short words are shuffled.
 """
 
 from __future__ import annotations
@@ -20,27 +22,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspaat.llm.words import words
+from veldspaat.plans.shared import written
 
-LAGS = 8
+#: A function word has at most so many letters and stands in that part of the pages of its language.
+SHORT_LETTERS, PAGE_PART = 6, 0.25
+#: A language counts if it has so many pages, and that part of all.
+LEAST_PAGES, LANGUAGE_PART = 20, 0.01
 #: Part of a segment's words that may be function words, in a list and beside a link.
 LIST_PART, LINK_PART = 0.1, 0.15
-#: Part of the content words that recur, from which on a segment repeats.
-REPEAT_PART = 0.45
+#: Part of the words with at most three letters, from which on a segment is taken for prose of a language the corpus hardly has.
+TINY_PART = 0.25
+#: Part of the content words that recur within so many words, from which on a segment repeats.
+DENSE = {8: 0.45, 16: 0.65}
+#: Part of the content words that recur at the page's own lag, from which on a segment repeats; and how far two gaps, or a
+#: gap and that lag, may differ.
+REGULAR_PART, SAME_GAP, LAG_WINDOW = 0.55, 0.1, 0.15
 TEXTS = 1000
 
-#: Words without content, Dutch, English, German and French. Fixed values.
-FUNCTION_WORDS = tuple(
-    """aan al als altijd ben bij daar dan dat de deze die dit door dus een en er geen had heb hebben heeft het hij hoe ik in is je kan maar me
-    men met mijn moet na naar niet nog nu of om omdat ons onze ook op over te tot u uit uw van veel voor waar was wat we werd wie wij wil worden
-    wordt zich zij zijn zo zonder zou
-    a an and any are as at be before but by each for from has have if in it not of on or that the this to was we with
-    aber als auch auf aus das dem den der des die durch ein eine für im ist mit nicht noch oder sich sie sind und von vor wenn wird zu
-    au avec ce dans des du elle en est et il la le les mais même ne ou par pas pour que qui sans se si sont sur un une""".split()
-)
-
 _SENTENCE = r"([.!?])\s+"
 _ADDRESS = r"(?i)(?:https?://|www\.)[^\s)\]]+"
-_FIGURES = r"[€$%]"
+#: A label in front of a value, such as "tag:"; it is neither a content word nor a function word.
+_LABEL = r"[\p{L}\p{Nd}.]+:(?:\s|$)"
+#: Scripts that don't put spaces between words: what looks like one word there says nothing about function words.
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]"
+
+
+def function_words(pages: DataFrame, *, text: Column, language: Column) -> list[str]:
+    """Words of up to SHORT_LETTERS letters that PAGE_PART of the pages of some language have, or of all pages.
+
+    A language is a value of ``language``, as dirty as it is; null is one too. The list is bounded: per language it has at
+    most 1 / PAGE_PART times the mean number of different short words of a page, and there are at most 1 / LANGUAGE_PART
+    languages. Counts are made over all pages, each page counting a word once, and only counts are shuffled.
+    """
+    rows = pages.select(F.coalesce(language, F.lit("")).alias("_lang"), text.alias("_text")).where("_text is not null")
+    short = F.regexp_extract_all(F.lower("_text"), F.lit(rf"(?<![\p{{L}}\p{{Nd}}])\p{{L}}{{1,{SHORT_LETTERS}}}(?![\p{{L}}\p{{Nd}}])"), F.lit(0))
+    spelt = rows.select("_lang", F.explode_outer(F.array_distinct(short)).alias("word")).where("word is not null")
+    counts = written(spelt.groupBy("_lang", "word").agg(F.count("*").alias("n")), "pages-words")
+    sizes = rows.groupBy("_lang").agg(F.count("*").alias("_pages"))
+    total = sizes.agg(F.sum("_pages").alias("_all"))
+    known = sizes.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").where((F.col("_pages") >= LEAST_PAGES) & (F.col("_pages") >= LANGUAGE_PART * F.col("_all")))
+    own = counts.join(known.select("_lang", "_pages"), "_lang").where(F.col("n") >= PAGE_PART * F.col("_pages")).select("word")
+    every = counts.groupBy("word").agg(F.sum("n").alias("n"), F.lit(1).alias("_one")).join(total.withColumn("_one", F.lit(1)), "_one")
+    every = every.where((F.col("_all") >= LEAST_PAGES) & (F.col("n") >= PAGE_PART * F.col("_all"))).select("word")
+    return sorted(r["word"] for r in own.unionByName(every).distinct().collect())
 
 
 def _segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -53,69 +77,113 @@ def _segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), of[full.to_numpy(zero_copy_only=False)]
 
 
-def page_parts(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Characters of each text in segments of each kind: all, list, links, repeats; and the lag at which most words recur."""
+def recurrences(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest, regular, first) of each word, a word with code -1 being none.
+
+    nearest: the gap in words to the next place, before or behind, of the same word in its text. regular: whether the word
+    stands in a row of three of its places, each or every second or third one, whose two gaps are equal and lie at the lag at which most
+    such rows of its text do. first: whether it is the word's first place in its text.
+    """
+    at = np.flatnonzero(code >= 0)
+    at = at[np.lexsort((at, code[at], text[at]))]
+    t, c = text[at], code[at]
+    nearest, first = np.full(len(code), np.iinfo(np.int64).max), np.zeros(len(code), bool)
+    first[at] = True
+    rows = []
+    for m in (1, 2, 3):
+        if m == 1:
+            same = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
+            a, b = at[:-1][same], at[1:][same]
+            nearest[a] = np.minimum(nearest[a], b - a)
+            nearest[b] = np.minimum(nearest[b], b - a)
+            first[b] = False
+        k = len(at) - 2 * m
+        if k > 0:
+            x, y, z = at[:k], at[m : m + k], at[2 * m :]
+            same = (t[2 * m :] == t[:k]) & (c[2 * m :] == c[:k]) & (np.abs((z - y) - (y - x)) <= SAME_GAP * np.maximum(z - y, y - x))
+            rows.append(np.stack([x[same], y[same], z[same]], 1))
+    regular = np.zeros(len(code), bool)
+    found = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
+    if len(found):
+        of, gap = text[found[:, 0]], found[:, 1] - found[:, 0]
+        pairs, times = np.unique(np.stack([of, gap], 1), axis=0, return_counts=True)
+        order = np.lexsort((-pairs[:, 1], times, pairs[:, 0]))  # the last of each text: most rows, the shortest gap on ties
+        lag = np.zeros(int(text.max()) + 1)
+        lag[pairs[order, 0]] = pairs[order, 1]
+        regular[found[np.abs(gap - lag[of]) <= LAG_WINDOW * lag[of]].ravel()] = True
+    return nearest, regular, first
+
+
+def page_parts(texts: pa.Array, functional: list[str]) -> dict[str, np.ndarray]:
+    """Characters of each text in segments of each kind: all, list, links, repeats; 'regular' is a part of 'repeats'."""
     segments, of = _segments(texts)
-    n = len(texts)
-    size = pc.utf8_length(segments).to_numpy(zero_copy_only=False).astype(np.float64)
+    n, size = len(texts), pc.utf8_length(segments).to_numpy(zero_copy_only=False).astype(np.float64)
     linked = pc.match_substring_regex(segments, _ADDRESS).to_numpy(zero_copy_only=False)
-    figures = pc.match_substring_regex(segments, _FIGURES).to_numpy(zero_copy_only=False)
-    flat, offsets = words(pc.replace_substring_regex(segments, _ADDRESS, " "))
+    unspaced = pc.match_substring_regex(segments, _UNSPACED).to_numpy(zero_copy_only=False)
+    flat, offsets = words(pc.replace_substring_regex(pc.replace_substring_regex(segments, _ADDRESS, " "), _LABEL, " "))
     segment = np.repeat(np.arange(len(segments)), np.diff(offsets))
-    text = of[segment]
-    function = pc.is_in(flat, pa.array(FUNCTION_WORDS, pa.large_string())).to_numpy(zero_copy_only=False)
-    content = ~function & (pc.utf8_length(flat).to_numpy(zero_copy_only=False) > 2)
-    code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    code = np.where(content, code, -1)
-    near = np.zeros(len(code), bool)
-    lags = np.zeros((LAGS, n))
-    for k in range(1, min(LAGS, len(code) - 1) + 1):
-        same = (code[k:] == code[:-k]) & (code[k:] >= 0) & (text[k:] == text[:-k])
-        near[k:] |= same
-        near[:-k] |= same
-        lags[k - 1] = np.bincount(text[k:][same], minlength=n)
+    letters = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
+    known = pc.is_in(flat, pa.array(functional, pa.large_string())).to_numpy(zero_copy_only=False)
+    digits = pc.match_substring_regex(flat, r"\p{Nd}").to_numpy(zero_copy_only=False)
+    content = ~known & (letters > 2)
+    code = np.where(content, flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), -1)
+    nearest, regular, first = recurrences(of[segment], code)
 
     def per_segment(mask: np.ndarray) -> np.ndarray:
         return np.bincount(segment[mask], minlength=len(segments)).astype(np.float64)
 
-    def with_neighbours(x: np.ndarray) -> np.ndarray:
+    def around(x: np.ndarray) -> np.ndarray:
+        """With the segments before and behind in the same text."""
         out = x.copy()
-        before = of[1:] == of[:-1]
-        out[1:] += np.where(before, x[:-1], 0)
-        out[:-1] += np.where(before, x[1:], 0)
+        joined = of[1:] == of[:-1]
+        out[1:] += np.where(joined, x[:-1], 0)
+        out[:-1] += np.where(joined, x[1:], 0)
         return out
 
-    count, functional, contentful, again = per_segment(np.ones(len(code), bool)), per_segment(function), per_segment(content), per_segment(near)
-    links = linked & (functional <= LINK_PART * count)
-    repeats = (again > 0) & (with_neighbours(again) >= REPEAT_PART * with_neighbours(contentful)) & (again >= REPEAT_PART / 2 * contentful) & ~links
-    plain = ~links & ~repeats & ~figures & (count > 0) & (functional <= LIST_PART * count)
-    return {
-        "all": np.bincount(of, size, n),
-        "list": np.bincount(of[plain], size[plain], n),
-        "links": np.bincount(of[links], size[links], n),
-        "repeats": np.bincount(of[repeats], size[repeats], n),
-        "lag": np.where(lags.any(0), lags.argmax(0) + 1, 0),
-    }
-
-
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, TEXTS):
-            piece = batch.slice(start, TEXTS)
-            parts = page_parts(piece.column("_text"))
-            whole = np.maximum(parts["all"], 1)
-            shares = [pa.array(parts[k] / whole) for k in ("list", "links", "repeats")]
-            rest = piece.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *shares, pa.array(parts["lag"].astype(np.int32))], names=[*rest.schema.names, "list_share", "link_share", "repeat_share", "lag"])
-
-
-def list_scores(pages: DataFrame, *, ids: list[str], text: Column) -> DataFrame:
-    """(*ids, list_share, link_share, repeat_share, lag, score) of every page.
+    count, functions, contents, tiny = per_segment(np.ones(len(code), bool)), per_segment(known), per_segment(content), per_segment((letters <= 3) & ~digits)
+
+    def repeating(mask: np.ndarray, part: float) -> np.ndarray:
+        again = per_segment(mask)
+        return (again > 0) & (around(again) >= part * around(contents)) & (again >= part / 2 * contents)
+
+    links = linked & (functions <= LINK_PART * count)
+    at_lag = repeating(regular, REGULAR_PART) & ~links
+    repeats = at_lag.copy()
+    for window, part in DENSE.items():
+        repeats |= repeating(nearest <= window, part) & ~links
+    plain = ~links & ~repeats & ~unspaced & (count > 0) & (functions <= LIST_PART * count) & (around(tiny) < TINY_PART * around(count))
+    different = 2 * around(per_segment(first)) >= around(contents)
+    kinds = {"list": plain & different, "links": links, "repeats": repeats | (plain & ~different), "regular": at_lag}
+    return {"all": np.bincount(of, size, n)} | {k: np.bincount(of[m], size[m], n) for k, m in kinds.items()}
+
+
+def _scores(functional: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                piece = batch.slice(start, TEXTS)
+                parts = page_parts(piece.column("_text"), functional)
+                whole = np.maximum(parts["all"], 1)
+                shares = [pa.array(parts[k] / whole) for k in ("list", "links", "repeats", "regular")]
+                rest = piece.drop_columns(["_text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, *shares], names=[*rest.schema.names, *_SHARES])
+
+    return run
+
+
+_SHARES = ("list_share", "link_share", "repeat_share", "regular_share")
+
+
+def list_scores(pages: DataFrame, *, ids: list[str], text: Column, language: Column, functional: list[str] | None = None) -> DataFrame:
+    """(*ids, list_share, link_share, repeat_share, regular_share, score) of every page.
 
     Each share is the part of the page's characters, white space between segments aside, in segments of that kind; a
-    segment has one kind. ``score`` is their sum, ``lag`` the distance in words at which most words recur, 0 if none
-    does. A null, empty or blank text scores 0. Every row is scored, repeated ones too; other columns are ignored.
+    segment has one kind, and regular_share is the part of repeat_share that recurs at one lag. ``score`` is the sum of
+    the first three. ``functional`` are the function words, found from ``pages`` themselves if not given; they are all the
+    driver holds. A null, empty or blank text scores 0. Every row is scored, repeated ones too; other columns are ignored.
     """
+    if functional is None:
+        functional = function_words(pages, text=text, language=language)
     base = pages.select(*ids, text.alias("_text"))
-    schema = T.StructType([*base.drop("_text").schema, *[T.StructField(n, T.DoubleType()) for n in ("list_share", "link_share", "repeat_share")], T.StructField("lag", T.IntegerType())])
-    return base.mapInArrow(_scores, schema).withColumn("score", F.col("list_share") + F.col("link_share") + F.col("repeat_share"))
+    schema = T.StructType([*base.drop("_text").schema, *[T.StructField(n, T.DoubleType()) for n in _SHARES]])
+    return base.mapInArrow(_scores(functional), schema).withColumn("score", F.col("list_share") + F.col("link_share") + F.col("repeat_share"))

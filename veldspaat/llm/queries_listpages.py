@@ -14,7 +14,7 @@ HALF = 0.5
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The listed parts of every page that has any."""
-    return list_scores(table(spark, folder, "documents"), ids=["doc_id"], text=F.col("text")).where("score > 0")
+    return list_scores(table(spark, folder, "documents"), ids=["doc_id"], text=F.col("text"), language=F.col("lang")).where("score > 0")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,16 +27,20 @@ from veldspaat.plans.shared import written
 #: A function word has at most so many letters and stands in that part of the pages of its language.
 SHORT_LETTERS, PAGE_PART = 6, 0.25
 #: A language counts if it has so many pages, and that part of all.
-LEAST_PAGES, LANGUAGE_PART = 20, 0.01
+LEAST_PAGES, LANGUAGE_PART = 5, 0.01
 #: Part of a segment's words that may be function words, in a list and beside a link.
 LIST_PART, LINK_PART = 0.1, 0.15
 #: Part of the words with at most three letters, from which on a segment is taken for prose of a language the corpus hardly has.
 TINY_PART = 0.25
 #: Part of the content words that recur within so many words, from which on a segment repeats.
-DENSE = {8: 0.45, 16: 0.65}
+NEAR, NEAR_PART = 8, 0.45
+#: The same for words of which three places lie within so many words.
+DENSE, DENSE_PART = 32, 0.65
 #: Part of the content words that recur at the page's own lag, from which on a segment repeats; and how far two gaps, or a
 #: gap and that lag, may differ.
 REGULAR_PART, SAME_GAP, LAG_WINDOW = 0.55, 0.1, 0.15
+#: Places of a word in a row with equal gaps, from which on it recurs regularly.
+PLACES = 5
 TEXTS = 1000
 
 _SENTENCE = r"([.!?])\s+"
@@ -77,33 +81,38 @@ def _segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), of[full.to_numpy(zero_copy_only=False)]
 
 
-def recurrences(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nearest, regular, first) of each word, a word with code -1 being none.
+def recurrences(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(near, dense, regular, first) of each word, a word with code -1 being none.
 
-    nearest: the gap in words to the next place, before or behind, of the same word in its text. regular: whether the word
-    stands in a row of three of its places, each or every second or third one, whose two gaps are equal and lie at the lag at which most
-    such rows of its text do. first: whether it is the word's first place in its text.
+    near: whether the word stands within NEAR words of another of its places in its text. dense: whether it is one of
+    three of its places within DENSE words. regular: whether the word
+    stands in a row of PLACES of its places, each or every second or third one, with equal gaps, at the lag at which most
+    such rows of its text lie. first: whether it is the word's first place in its text.
     """
     at = np.flatnonzero(code >= 0)
     at = at[np.lexsort((at, code[at], text[at]))]
     t, c = text[at], code[at]
-    nearest, first = np.full(len(code), np.iinfo(np.int64).max), np.zeros(len(code), bool)
+    near, dense, first = (np.zeros(len(code), bool) for _ in range(3))
     first[at] = True
+    same = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
+    first[at[1:][same]] = False
+    close = same & (at[1:] - at[:-1] <= NEAR)
+    near[at[1:][close]] = near[at[:-1][close]] = True
+    three = np.flatnonzero((t[2:] == t[:-2]) & (c[2:] == c[:-2]) & (at[2:] - at[:-2] <= DENSE))
+    for j in range(3):
+        dense[at[three + j]] = True
     rows = []
     for m in (1, 2, 3):
-        if m == 1:
-            same = (t[1:] == t[:-1]) & (c[1:] == c[:-1])
-            a, b = at[:-1][same], at[1:][same]
-            nearest[a] = np.minimum(nearest[a], b - a)
-            nearest[b] = np.minimum(nearest[b], b - a)
-            first[b] = False
-        k = len(at) - 2 * m
+        last = (PLACES - 1) * m
+        k = len(at) - last
         if k > 0:
-            x, y, z = at[:k], at[m : m + k], at[2 * m :]
-            same = (t[2 * m :] == t[:k]) & (c[2 * m :] == c[:k]) & (np.abs((z - y) - (y - x)) <= SAME_GAP * np.maximum(z - y, y - x))
-            rows.append(np.stack([x[same], y[same], z[same]], 1))
+            row = np.stack([at[j * m : j * m + k] for j in range(PLACES)], 1)
+            gaps = np.diff(row, axis=1)
+            longest = gaps.max(1)
+            same = (t[last:] == t[:k]) & (c[last:] == c[:k]) & (longest - gaps.min(1) <= SAME_GAP * longest)
+            rows.append(row[same])
     regular = np.zeros(len(code), bool)
-    found = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
+    found = np.concatenate(rows) if rows else np.empty((0, PLACES), np.int64)
     if len(found):
         of, gap = text[found[:, 0]], found[:, 1] - found[:, 0]
         pairs, times = np.unique(np.stack([of, gap], 1), axis=0, return_counts=True)
@@ -111,7 +120,7 @@ def recurrences(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndar
         lag = np.zeros(int(text.max()) + 1)
         lag[pairs[order, 0]] = pairs[order, 1]
         regular[found[np.abs(gap - lag[of]) <= LAG_WINDOW * lag[of]].ravel()] = True
-    return nearest, regular, first
+    return near, dense, regular, first
 
 
 def page_parts(texts: pa.Array, functional: list[str]) -> dict[str, np.ndarray]:
@@ -127,7 +136,7 @@ def page_parts(texts: pa.Array, functional: list[str]) -> dict[str, np.ndarray]:
     digits = pc.match_substring_regex(flat, r"\p{Nd}").to_numpy(zero_copy_only=False)
     content = ~known & (letters > 2)
     code = np.where(content, flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), -1)
-    nearest, regular, first = recurrences(of[segment], code)
+    near, dense, regular, first = recurrences(of[segment], code)
 
     def per_segment(mask: np.ndarray) -> np.ndarray:
         return np.bincount(segment[mask], minlength=len(segments)).astype(np.float64)
@@ -148,9 +157,7 @@ def page_parts(texts: pa.Array, functional: list[str]) -> dict[str, np.ndarray]:
 
     links = linked & (functions <= LINK_PART * count)
     at_lag = repeating(regular, REGULAR_PART) & ~links
-    repeats = at_lag.copy()
-    for window, part in DENSE.items():
-        repeats |= repeating(nearest <= window, part) & ~links
+    repeats = at_lag | ((repeating(near, NEAR_PART) | repeating(dense, DENSE_PART)) & ~links)
     plain = ~links & ~repeats & ~unspaced & (count > 0) & (functions <= LIST_PART * count) & (around(tiny) < TINY_PART * around(count))
     different = 2 * around(per_segment(first)) >= around(contents)
     kinds = {"list": plain & different, "links": links, "repeats": repeats | (plain & ~different), "regular": at_lag}

@@ -38,12 +38,12 @@ def bytes_of(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"]
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Equi join that broadcasts ``right`` only if it has at most ``most`` bytes, else shuffles both sides.
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, most: int | None = None) -> DataFrame:
+    """Equi join that broadcasts ``right`` only if it has at most ``most`` bytes (BROADCAST_BYTES), else shuffles both sides.
 
     ``right`` should be a written table or a plain scan, since its bytes are added up first.
     """
-    return left.join(F.broadcast(right) if bytes_of(right) <= most else right, on, how)
+    return left.join(F.broadcast(right) if bytes_of(right) <= (BROADCAST_BYTES if most is None else most) else right, on, how)
 
 
 def salted_join(
@@ -66,17 +66,18 @@ def salted_join(
 
 
 def matched(
-    left: DataFrame, right: DataFrame, on: list[str], left_item: str, right_item: str, *, most: int = BROADCAST_BYTES, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: list[str], left_item: str, right_item: str, *, most: int | None = None, share: float = HOT_SHARE, least: int | None = None, salts: int = SALTS
 ) -> DataFrame:
     """Inner join of many rows with many rows per key; both sides should be written tables or plain scans.
 
-    ``right`` is broadcast if it has at most ``most`` bytes. Else both sides are shuffled, and a key that is hot on a side
+    ``right`` is broadcast if it has at most ``most`` bytes (BROADCAST_BYTES). Else both sides are shuffled, and a key that is hot on a side
     has its rows there spread over ``salts`` partitions by the hash of that side's item, the other side's rows of the key
     being repeated for each: no task gets more than a part of a key on either side. A side's hot keys are at most
     1 / share, whatever the data, and are the only thing broadcast then. Null keys match nothing.
     """
-    if bytes_of(right) <= most:
+    if bytes_of(right) <= (BROADCAST_BYTES if most is None else most):
         return left.join(F.broadcast(right), on)
+    least = HOT_ROWS if least is None else least
 
     def hot(rows: DataFrame, name: str) -> DataFrame:
         counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))

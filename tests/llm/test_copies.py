@@ -70,6 +70,18 @@ def test_copies_are_one_class_and_groups_follow_links(spark):
     assert found[0].group == found[1000].group != found[2000].group
 
 
+def test_a_class_with_a_third_of_all_records_is_spelt_out_in_parts(spark, monkeypatch):
+    from veldspaat.plans import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    stem = "alle kopieën zijn van dezelfde tekst met zes woorden meer en nog wat"
+    rows = [(i, None, stem) for i in range(60)] + [(100 + i, None, f"{stem} slot{i}") for i in range(40)] + [(200 + i, None, f"een andere tekst {i} met heel eigen {i * 7} woorden erin {i * 13}") for i in range(80)]
+    members, links = run(spark, rows, 3, 0.6)
+    pairs = [tuple(r) for r in item_pairs(members, links, item="id").collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, 3, 0.6)
+
+
 def test_chain_is_one_group(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(k, None, " ".join(w[k * 2 : k * 2 + 30])) for k in range(12)]

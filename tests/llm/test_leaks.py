@@ -3,8 +3,8 @@ import re
 
 import pytest
 
-from veldspaat.llm import leaks
 from veldspaat.llm.leaks import leaked_passages
+from veldspaat.plans import joins
 
 
 def brute(items, docs, n):
@@ -42,8 +42,9 @@ def test_against_brute_force(spark, seed, monkeypatch):
             w[20 : 20 + size] = src[at : at + size]
         docs.append((d, rng.choice([", ", "\n", " — "]).join(w).upper()))
     docs += [(900, None), (901, ""), (None, items[0][1]), docs[0], (902, items[3][1] + " x " + items[3][1])]
-    if seed == 2:
-        monkeypatch.setattr(leaks, "VOCABULARY", 5)  # an index of all words
+    if seed == 2:  # everything shuffled, hot terms and items spread
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(joins, "HOT_ROWS", 3)
     got = run(spark, items, docs, 6)
     assert {(r.item, r.doc) for r in got.where("kind = 'exact'").collect()} == brute(items, docs, 6)
 
@@ -56,6 +57,16 @@ def test_places_and_near(spark):
     assert (got[1, 2].kind, got[1, 2].n_words) == ("near", 15)
 
 
+def test_one_item_in_a_third_of_the_documents(spark, monkeypatch):
+    """The hot item and its terms are spread, and every document is found."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    hot, other = " ".join(f"heet{i}" for i in range(20)), " ".join(f"koud{i}" for i in range(20))
+    docs = [(d, f"begin{d} {hot if d % 3 == 0 else other if d % 50 == 1 else ''} eind{d}") for d in range(900)]
+    got = run(spark, [(1, hot), (2, other)], docs, 13)
+    assert {(r.item, r.doc) for r in got.collect()} == brute([(1, hot), (2, other)], docs, 13)
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "a b c")], 3).count() == 0
     assert run(spark, [(1, "a b c d")], [], 3).count() == 0

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from veldspaat.llm.mixture import TOKENIZER, _encoding, _stretches, mixture, token_counts
+from veldspaat.llm.mixture import PATTERN, TOKENIZER, _encodings, count_tokens, mixture, token_counts
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="needs the tokenizer file")
 RECIPES = "recept string, source string, gewicht double, keer int, deel double, tokens string"
@@ -16,12 +16,23 @@ def run(spark, docs, recipes, seed=0):
 
 
 def test_counts(spark):
-    encode = _encoding(TOKENIZER).encode_ordinary
-    texts = [None, "", "Een polis dekt schade.", "x" * 1000, " " * 5000, "één\n\n<|endoftext|> twee", "woord " * 60_000]
+    encode = _encodings(TOKENIZER)[0].encode_ordinary
+    texts = [None, "", "Een polis dekt schade.", "x" * 1000, " " * 5000, "één\n\n<|endoftext|> twee", "woord " * 60_000, "a," * 75_000, "x" * 250_000]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = {r.id: r.tokens for r in token_counts(df, ids=["id"], text=F.col("t")).collect()}
     assert got == {i: len(encode(t or "")) for i, t in enumerate(texts)}
-    assert "".join(_stretches("ab " * 100_000)) == "ab " * 100_000
+
+
+def test_long_white_space_is_split_as_the_pattern_says():
+    import regex
+
+    encode = _encodings(TOKENIZER)[0].encode_ordinary
+    piece = _encodings(TOKENIZER)[1].encode_ordinary
+    for run in (" " * 10_000, "\n" * 12_000, " \n\t" * 4_000, "\u2003" * 10_001, " " * 9_999):
+        for text in (run, f"een{run}", f"{run}twee", f"een{run}twee", f"een {run}. {run}drie"):
+            assert count_tokens(text, TOKENIZER) == sum(len(piece(p)) for p in regex.findall(PATTERN, text))
+    short = "een" + " " * 300 + "twee"
+    assert len(encode(short)) == sum(len(piece(p)) for p in regex.findall(PATTERN, short))
 
 
 def test_shares_and_caps(spark):

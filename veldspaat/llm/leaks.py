@@ -1,8 +1,8 @@
 """Evaluation passages inside training text, found through a positional inverted index.
 
 The index holds one row per (document, term) with all positions of the term. It is written segment by segment: each task
-indexes its own documents and sorts them by term, nothing is shuffled. Only terms of the evaluation items are stored,
-as no other can take part in a match.
+indexes its own documents and sorts them by term. Only terms of the evaluation items are kept, by a semi join with the
+items' terms, as no other can take part in a match.
 
 A passage is looked up from its rarest terms: every window of ``length`` item words names its two rarest terms by document
 frequency, their posting lists are offset by the place in the item and intersected, and only where both agree are the
@@ -15,49 +15,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspaat.llm.words import words
-from veldspaat.plans.joins import sized_join
+from veldspaat.plans.joins import matched, sized_join
 from veldspaat.plans.shared import written
 
 LENGTH = 13
 #: How many item words a proximity match of ``length`` words may take.
 SPAN = 16
-#: Distinct item words up to which the index is restricted to them; beyond, it holds all words.
-VOCABULARY = 1_000_000
 TEXTS = 2000
 
 
-def _postings(vocabulary: list[str] | None):
-    terms = None if vocabulary is None else pa.array(vocabulary, pa.large_string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS):
-                piece = batch.slice(start, TEXTS)
-                flat, offsets = words(piece.column("_text"))
-                if terms is None:
-                    encoded = flat.dictionary_encode()
-                    names, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
-                else:
-                    names, code = terms, pc.fill_null(pc.index_in(flat, terms), -1).to_numpy().astype(np.int64)
-                place = np.flatnonzero(code >= 0)
-                code = code[place]
-                text = np.repeat(np.arange(piece.num_rows), np.diff(offsets))[place]
-                order = np.argsort(code * piece.num_rows + text, kind="stable")
-                place, code, text = (place - offsets[text])[order], code[order], text[order]
-                new = np.ones(len(code), bool)
-                new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
-                first = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
-                columns = [names.take(pa.array(code[first])).cast(pa.string()), piece.column("_doc").take(pa.array(text[first])), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "_doc", "places"])
-
-    return run
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            piece = batch.slice(start, TEXTS)
+            flat, offsets = words(piece.column("_text"))
+            encoded = flat.dictionary_encode()
+            code = encoded.indices.to_numpy().astype(np.int64)
+            text = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
+            order = np.argsort(code * piece.num_rows + text, kind="stable")
+            place, code, text = (np.arange(len(code)) - offsets[text])[order], code[order], text[order]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            columns = [encoded.dictionary.take(pa.array(code[first])).cast(pa.string()), piece.column("_doc").take(pa.array(text[first])), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "_doc", "places"])
 
 
 def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +56,16 @@ def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["_item", "at", "term"])
 
 
-def positional_index(documents: DataFrame, *, doc: str, text: str, vocabulary: list[str] | None) -> DataFrame:
-    """(term, _doc, places): the posting lists of the given terms, or of all terms, sorted by term within each segment.
+def positional_index(documents: DataFrame, *, doc: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, _doc, places): the posting lists of the terms of a written table (term), or of all terms, sorted by term
+    within each segment.
 
     ``places`` counts the words of the document from 0. Rows with a null id or text are not indexed.
     """
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("_doc", documents.schema[doc].dataType), T.StructField("places", T.ArrayType(T.IntegerType()))])
     rows = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and _text is not null")
-    return written(rows.mapInArrow(_postings(vocabulary), schema), "leaks-index", sort=["term"])
+    index = rows.mapInArrow(_postings, schema)
+    return written(sized_join(index, terms, ["term"], "left_semi") if terms is not None else index, "leaks-index", sort=["term"])
 
 
 def leaked_passages(items: DataFrame, documents: DataFrame, *, item: str, item_text: str, doc: str, text: str, length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -88,8 +77,9 @@ def leaked_passages(items: DataFrame, documents: DataFrame, *, item: str, item_t
     Words are runs of letters and digits in lower case, so case, punctuation and white space don't matter. Items shorter
     than ``length`` words, null ids and null texts match nothing; repeated rows count once; empty tables give no rows.
 
-    Posting lists of a frequent term are only read for windows that have no rarer one. The terms of all items are
-    broadcast if a count shows they are few, and shuffled otherwise.
+    Posting lists of a frequent term are only read for windows that have no rarer one. What the items hold is broadcast if
+    its bytes allow it; else it is shuffled, and a term, or an item, that a third of all rows have is spread over many
+    tasks. Nothing is collected.
     """
     if length < 2:
         raise ValueError("a passage has at least two words")
@@ -97,27 +87,27 @@ def leaked_passages(items: DataFrame, documents: DataFrame, *, item: str, item_t
     schema = T.StructType([T.StructField("_item", kind), T.StructField("at", T.IntegerType()), T.StructField("term", T.StringType())])
     rows = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).where("_item is not null and _text is not null").dropDuplicates(["_item"])
     spelt = written(rows.mapInArrow(_spelt, schema), "leaks-items")
-    vocabulary = [r[0] for r in spelt.select("term").distinct().limit(VOCABULARY + 1).collect()]
-    index = positional_index(documents, doc=doc, text=text, vocabulary=sorted(vocabulary) if len(vocabulary) <= VOCABULARY else None)
+    index = positional_index(documents, doc=doc, text=text, terms=written(spelt.groupBy("term").agg(F.count("*").alias("_n")), "leaks-terms").select("term"))
 
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = written(index.groupBy("term").agg(F.count("*").alias("df")), "leaks-frequencies")
     ahead = Window.partitionBy("_item").orderBy("at").rowsBetween(0, length - 1)
-    rated = spelt.join(frequency, "term", "left").select("_item", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at").alias("_t"), "at")
+    rated = sized_join(spelt, frequency, ["term"], "left").select("_item", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at").alias("_t"), "at")
     windows = rated.select("_item", F.array_sort(F.collect_list("_t").over(ahead)).alias("_w")).where((F.size("_w") == length) & (F.get("_w", F.lit(0))["df"] > 0))
     first, second = F.get("_w", F.lit(0)), F.get("_w", F.lit(1))
     both = windows.select("_item", F.slice("_w", 1, 2).alias("_t"), F.least(first["at"], second["at"]).alias("_a"), F.greatest(first["at"], second["at"]).alias("_b"))
     both = written(both.dropDuplicates(["_item", "_a", "_b"]), "leaks-windows")
     anchors = written(both.select("_item", F.explode("_t").alias("_t")).select("_item", "_t.term", "_t.at").distinct(), "leaks-anchors")
 
-    offset = sized_join(index, anchors, ["term"]).select("_item", "_doc", "at", F.explode("places").alias("place"))
+    offset = matched(index, anchors, ["term"], "_doc", "_item").select("_item", "_doc", "at", F.explode("places").alias("place"))
     offset = offset.groupBy("_item", "_doc", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("_n"), F.min("at").alias("_a"), F.max("at").alias("_b"))
     # Two hits must be the two terms of one window; three or more go on to the exact check.
     pairs = both.select("_item", "_a", "_b", F.lit(True).alias("_pair"))
     offset = sized_join(offset.where("_n >= 2"), pairs, ["_item", "_a", "_b"], "left").where("_n > 2 or _pair")
     offset = written(offset.select("_item", "_doc", "shift"), "leaks-offsets")
 
-    lists = sized_join(index, written(offset.select("_doc").distinct(), "leaks-documents"), ["_doc"])
-    whole = offset.join(spelt, "_item").join(lists, ["_doc", "term"]).where(F.array_contains("places", F.col("at") + F.col("shift")))
+    lists = sized_join(index, written(offset.select("_doc").distinct(), "leaks-documents"), ["_doc"], "left_semi")
+    wanted = matched(offset, spelt, ["_item"], "_doc", "at")
+    whole = wanted.join(lists, ["_doc", "term"]).where(F.array_contains("places", F.col("at") + F.col("shift")))
     whole = whole.select("_item", "_doc", "shift", "at").distinct()  # a repeated document has its postings twice
     line = ["_item", "_doc", "shift"]
     order = Window.partitionBy(*line).orderBy("at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,44 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspaat.plans.joins import sized_join
+from veldspaat.plans.joins import matched
 from veldspaat.plans.shared import written
 
 #: A public byte-level BPE vocabulary as ranks; the same path must exist on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the vocabulary's texts are split before merging. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest stretch handed to the tokenizer at once; longer ones are cut where a word starts.
-STRETCH = 100_000
+#: White space as the pattern means it, in runs too long for the tokenizer's pattern matcher. Fixed values.
+_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encodings(path: str):
+    """The tokenizer, and the same for a text that is one piece."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def _stretches(text: str) -> Iterator[str]:
-    """The text in parts of about STRETCH characters, cut before a single space, where tokens never cross."""
-    start = 0
-    while len(text) - start > STRETCH:
-        at = text.rfind(" ", start + 1, start + STRETCH)
-        while at > start and (text[at - 1].isspace() or text[at + 1].isspace()):
-            at = text.rfind(" ", start + 1, at)
-        stop = at if at > start else start + STRETCH
-        yield text[start:stop]
+    return [tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"(?s).+")]
+
+
+def count_tokens(text: str, path: str) -> int:
+    """Tokens of a text of any length, exactly as the vocabulary's pattern splits it.
+
+    Only a run of 10,000 or more white-space characters is handled apart, since the pattern matcher can't backtrack over
+    it: the pattern takes such a run as one piece, without its last character if text follows.
+    """
+    whole, piece = _encodings(path)
+    total = start = 0
+    for run in _BLANK.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        total += len(whole.encode_ordinary(text[start : run.start()])) + len(piece.encode_ordinary(text[run.start() : stop]))
         start = stop
-    yield text[start:]
+    return total + len(whole.encode_ordinary(text[start:]))
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
         for batch in batches:
-            counts = [0 if t is None else sum(len(encode(part)) for part in _stretches(t)) for t in batch.column("_text").to_pylist()]
+            counts = [0 if t is None else count_tokens(t, path) for t in batch.column("_text").to_pylist()]
             rest = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(counts, pa.int64())], names=[*rest.schema.names, "tokens"])
 
@@ -103,7 +106,8 @@ def mixture(
     rate = F.when(F.col("source_tokens") > 0, F.least(F.col("wanted_tokens") / F.col("source_tokens"), F.col("max_uses").cast("double"))).otherwise(F.lit(0.0))
     plan = written(plan.withColumn("rate", rate), "mixture-plan")
 
-    drawn = sized_join(counted.where("tokens > 0").withColumnRenamed(source, "source"), plan.where("rate > 0").select("recipe", "source", "rate"), ["source"])
+    rates = plan.where("rate > 0").select("recipe", "source", "rate")
+    drawn = matched(counted.where("tokens > 0").withColumnRenamed(source, "source"), rates, ["source"], doc, "recipe")
     extra = F.when(_uniform(seed, "recipe", doc) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     uses = written(drawn.select("recipe", doc, "source", "tokens", (F.floor("rate") + extra).cast("int").alias("uses")).where("uses > 0"), "mixture-uses")
 

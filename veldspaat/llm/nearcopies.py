@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspaat.llm.words import mixed, shingles, word_codes, words
-from veldspaat.plans.joins import salted_join, sized_join
+from veldspaat.plans.joins import matched, salted_join, sized_join
 from veldspaat.plans.pairs import pairs_within
 from veldspaat.plans.shared import written
 
@@ -144,13 +144,15 @@ def near_copies(records: DataFrame, *, item: str, text: Column, width: int = WID
 def item_pairs(members: DataFrame, links: DataFrame, *, item: str) -> DataFrame:
     """(a, b), a < b: the links of classes and the copies of each class, spelt out as pairs of records.
 
-    This is as large as it says: a class of m copies has m * (m - 1) / 2 pairs. Blocks keep each task bounded.
+    This is as large as it says: a class of m copies has m * (m - 1) / 2 pairs. Blocks keep each task bounded, also where
+    a class with a third of all records is linked to others, or a third of all links lead to one class.
     """
     members = written(members, "copies-spelt")
     within = pairs_within(members.where("copies > 1"), "class", item, "copies")
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("_n"))
-    lists = members.join(degree, "class", "left_semi")
-    across = links.select("a", "b").join(lists.select(F.col("class").alias("a"), F.col(item).alias("_x")), "a").join(lists.select(F.col("class").alias("b"), F.col(item).alias("_y")), "b")
+    links = written(links.select("a", "b"), "copies-links-spelt")
+    half = matched(links, members.select(F.col("class").alias("a"), F.col(item).alias("_x")), ["a"], "b", "_x")
+    half = written(half.select("b", "_x"), "copies-half-spelt")
+    across = matched(half, members.select(F.col("class").alias("b"), F.col(item).alias("_y")), ["b"], "_x", "_y")
     return within.unionByName(across.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
 
 

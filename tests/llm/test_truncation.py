@@ -28,8 +28,10 @@ def test_cut_and_whole(spark):
     assert (4002, "klacht") not in reason and (4003, "klacht") not in reason
     limited = [r for r in judged.where("id between 1000 and 1059").collect()]
     assert sum(r.reason is not None for r in limited) >= 55 and any(r.reason == "limit" for r in limited)
-    rates = {(r.bron, r.field): (r.n_values, r.n_cut) for r in truncation_rates(judged, item="id", source="bron").collect()}
-    assert rates["html", "klacht"] == (14, 8) and rates[None, "uitkomst"] == (1, 0)
+    assert {r.shown_by for r in limited if r.reason} == {"length"} and {r.shown_by for r in judged.where("id between 3000 and 3007").collect()} == {"ending"}
+    assert all((r.shown_by is None) == (r.reason is None) for r in judged.collect())
+    rates = {(r.bron, r.field): (r.n_values, r.n_cut) if r.bron != "api" else (r.n_cut, r.n_by_length) for r in truncation_rates(judged, item="id", source="bron").collect()}
+    assert rates["html", "klacht"] == (14, 8) and rates[None, "uitkomst"] == (1, 0) and rates["api", "klacht"][0] == rates["api", "klacht"][1] >= 55
 
 
 def test_empty(spark):

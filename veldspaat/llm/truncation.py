@@ -1,10 +1,14 @@
 """Text values that were cut off by a field limit or in transfer.
 
-Per source and field, length histograms in characters and bytes are searched for spikes: lengths that far more different
-values have than their neighbours. A value at a spike without terminal punctuation is cut. Cuts elsewhere show at the
-end of the value itself: a continuation mark, half an entity or tag, a hyphen, a comma, or no end of sentence in a field
-whose values end with one. In a field of phrases that may lack a full stop, the field's own finished values tell which
-words can come last.
+Two findings, told apart in the result:
+
+* by length: per source and field, length histograms in characters and bytes are searched for spikes, lengths that far
+  more different values have than their neighbours; a value at a spike without terminal punctuation is cut. A source may
+  hold longer values than its limit, kept from before the limit came or after it went, so a spike is looked for at every
+  length, not just at the greatest.
+* by ending: cuts elsewhere show at the end of the value itself: a continuation mark, half an entity or tag, a hyphen, a
+  comma, or no end of sentence in a field whose values end with one. In a field of phrases that may lack a full stop, the
+  field's own finished values tell which words can come last.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspaat.plans.joins import sized_join
+from veldspaat.plans.joins import BROADCAST_BYTES, bytes_of, salted_join, sized_join
 from veldspaat.plans.shared import written
 
 #: A spike has at least so many different values, that part of the values of its source's and field's commonest length,
@@ -64,15 +68,17 @@ def spikes(values: DataFrame) -> DataFrame:
 
 
 def judged_values(records: DataFrame, *, item: str, source: str, fields: list[str]) -> DataFrame:
-    """(item, source, field, n_chars, n_bytes, at_limit, reason) of every value that isn't null; reason is null if whole.
+    """(item, source, field, n_chars, n_bytes, at_limit, shown_by, reason) of every value that isn't null or blank.
 
-    reason is 'mark' (a mark says the text goes on), 'broken' (half an entity, tag or escape), 'open' (hyphen, comma,
+    shown_by is 'length' for a value at a spike of its source's and field's lengths that doesn't end as a whole one,
+    'ending' for a cut that only the end of the value shows, null for a whole value. reason, null if whole, is 'mark' (a mark says the text goes on), 'broken' (half an entity, tag or escape), 'open' (hyphen, comma,
     colon, currency sign or the like at the end), 'limit' (at a spike length, no end of sentence), 'number' (at a spike
     length, within the thousands of an amount), 'short' (a short form such as art. at the end), 'sentence' (no end of
     sentence, in a field where whole values have one) or 'phrase' (the field's values never end on this word with a full
     stop, or hardly ever without one). White space at the end and what stands behind a finished text are looked past. Rows with equal item and
     field are one value; null and blank values are none; a null source is a source of its own. No table of any size is
-    collected: spikes and finishing words are joined, broadcast only if a count shows they are few.
+    collected: spikes and finishing words are joined, broadcast only if their bytes allow it; else rows of a hot last
+    word are spread. Texts are read twice and never shuffled.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     rows = records.select(F.col(item).alias("item"), F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("source"), pairs.alias("p"))
@@ -85,29 +91,40 @@ def judged_values(records: DataFrame, *, item: str, source: str, fields: list[st
 
     near = F.exists("_chars", lambda n: F.col("n_chars").between(n - SLACK, n)) | F.exists("_bytes", lambda n: F.col("n_bytes").between(n - SLACK, n))
     placed = sized_join(ends, written(limits, "truncation-limits"), ["source", "field"], "left").withColumn("at_limit", F.coalesce(near, F.lit(False))).drop("_chars", "_bytes")
-    placed = placed.withColumn("_whole", F.col("body").rlike(TERMINAL) & ~F.col("body").rlike(SHORT)).withColumn("last", _shape(F.regexp_extract("body", LAST, 1)))
-    placed = written(placed, "truncation-values")
-    words = placed.where(~F.col("at_limit")).groupBy("field", "last").agg(F.count_if("_whole").alias("_closed"), F.count_if(~F.col("_whole")).alias("_left_open"))
-    words = written(words, "truncation-words")
-    custom = words.groupBy("field").agg((F.sum("_closed") >= CONVENTION * F.sum(F.col("_closed") + F.col("_left_open"))).alias("_sentences"))
-    placed = sized_join(sized_join(placed, written(custom, "truncation-custom"), ["field"], "left"), words, ["field", "last"], "left")
-    odd = F.coalesce((F.col("_closed") == 0) | ((F.col("_closed") >= FULL_STOPS) & (F.col("_closed") >= FULL_STOPS * F.col("_left_open"))), F.lit(True))
-    value = F.col("value")
-    reason = (
+    value, body = F.col("value"), F.col("body")
+    whole = body.rlike(TERMINAL) & ~body.rlike(SHORT)
+    shown = (
         F.when(value.rlike(CONTINUES), "mark")
         .when(value.rlike(BROKEN), "broken")
         .when(F.col("at_limit") & value.rlike(THOUSANDS), "number")
-        .when(F.col("body").rlike(SHORT), "short")
+        .when(body.rlike(SHORT), "short")
         .when(F.col("_whole"), None)
-        .when(F.col("body").rlike(OPEN), "open")
+        .when(body.rlike(OPEN), "open")
         .when(F.col("at_limit"), "limit")
-        .when(F.col("_sentences"), "sentence")
-        .when(odd, "phrase")
     )
-    return placed.select(F.col("item").alias(item), F.nullif("source", F.lit("\x00")).alias(source), "field", "n_chars", "n_bytes", "at_limit", reason.alias("reason"))
+    placed = placed.withColumn("_whole", whole).withColumn("last", _shape(F.regexp_extract("body", LAST, 1))).withColumn("_shown", shown).drop("value", "body")
+    placed = written(placed, "truncation-values")
+    words = placed.where(~F.col("at_limit")).groupBy("field", "last").agg(F.count_if("_whole").alias("_closed"), F.count_if(~F.col("_whole")).alias("_left_open"), F.count("*").alias("_n"))
+    words = written(words, "truncation-words")
+    custom = words.groupBy("field").agg((F.sum("_closed") >= CONVENTION * F.sum(F.col("_closed") + F.col("_left_open"))).alias("_sentences"))
+    placed = sized_join(placed, written(custom, "truncation-custom"), ["field"], "left")
+    if bytes_of(words) <= BROADCAST_BYTES:
+        placed = placed.join(F.broadcast(words), ["field", "last"], "left")
+    else:
+        placed = salted_join(placed, words, ["field", "last"], "_n", placed.count(), "item", "left")
+    odd = F.coalesce((F.col("_closed") == 0) | ((F.col("_closed") >= FULL_STOPS) & (F.col("_closed") >= FULL_STOPS * F.col("_left_open"))), F.lit(True))
+    left_open = F.when(F.col("_whole"), None).when(F.col("_sentences"), "sentence").when(odd, "phrase")
+    reason = F.coalesce("_shown", left_open)
+    by = F.when(reason.isNotNull(), F.when(F.col("at_limit") & (~F.col("_whole") | (F.col("_shown") == "number")), "length").otherwise("ending"))
+    return placed.select(F.col("item").alias(item), F.nullif("source", F.lit("\x00")).alias(source), "field", "n_chars", "n_bytes", "at_limit", by.alias("shown_by"), reason.alias("reason"))
 
 
 def truncation_rates(judged: DataFrame, *, item: str, source: str) -> DataFrame:
-    """(source, field, n_values, n_cut, rate), each item counted once."""
-    once = judged.groupBy(item, source, "field").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("_cut"))
-    return once.groupBy(source, "field").agg(F.count("*").alias("n_values"), F.sum("_cut").alias("n_cut"), F.avg("_cut").alias("rate"))
+    """(source, field, n_values, n_cut, rate, n_by_length, rate_by_length), each item counted once.
+
+    n_by_length and rate_by_length are the part that the length histograms show.
+    """
+    cut, length = F.col("reason").isNotNull().cast("int"), F.coalesce(F.col("shown_by") == "length", F.lit(False)).cast("int")
+    once = judged.groupBy(item, source, "field").agg(F.max(cut).alias("_cut"), F.max(length).alias("_length"))
+    sums = [F.sum("_cut").alias("n_cut"), F.avg("_cut").alias("rate"), F.sum("_length").alias("n_by_length"), F.avg("_length").alias("rate_by_length")]
+    return once.groupBy(source, "field").agg(F.count("*").alias("n_values"), *sums)

@@ -22,7 +22,7 @@ def test_bound(spark):
 
 
 def test_captured_and_dates(spark):
-    rows = [(6000, "Welkom"), (6000, "Please solve this CAPTCHA"), (10, "Welkom"), (None, None), (9000, None)]
+    rows = [(6000, "Welkom"), (6000, "Please VERIFY you are human"), (10, "Welkom"), (None, None), (9000, None)]
     assert values(spark, rows, "s int, t string", a.captured(F.col("s"), F.col("t"))) == [True, False, False, False, True]
     got = [tuple(v) for v in values(spark, [("2024-02-29",), ("",), (None,), ("2023-02-29",), ("1-1-2020",)], "t string", a.iso_date(F.col("t")))]
     assert got == [(dt.date(2024, 2, 29), None), (None, None), (None, None), (None, "no date: 2023-02-29"), (None, "no date: 1-1-2020")]

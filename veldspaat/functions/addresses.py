@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a page says instead of its content when it keeps a reader out. Fixed values.
-BLOCKED = ("access denied", "are you a robot", "captcha", "enable javascript", "forbidden", "just a moment", "too many requests")
+BLOCKED = ("Werk aan de winkel", "even niet bereikbaar", "Access Denied", "Pardon Our Interruption", "Even geduld", "verify you are human", "Je browser wordt gecontroleerd")
 LEAST_BYTES, HEAD = 5000, 3000
 
 
@@ -35,10 +35,35 @@ def captured(size: Column, text: Column) -> Column:
     head = F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(HEAD)))
     kept_out = F.lit(False)
     for phrase in BLOCKED:
-        kept_out = kept_out | F.contains(head, F.lit(phrase))
+        kept_out = kept_out | F.contains(head, F.lit(phrase.lower()))
     return (F.coalesce(size, F.lit(0)) > LEAST_BYTES) & ~kept_out
 
 
+#: A landed print that is smaller than this isn't one.
+LEAST_PRINT = 1024
+
+
+def reachable(status: Column) -> Column:
+    """Whether an address answered with its content, whole (200) or in part (206); no answer is none."""
+    return F.coalesce(status.isin(200, 206), F.lit(False))
+
+
+def print_key(address: Column) -> Column:
+    """The file name under which the print of an address is kept."""
+    return F.concat(F.sha1(address), F.lit(".pdf"))
+
+
+def print_kept(size: Column, head: Column | None = None) -> Column:
+    """Whether a kept file can be the print: over 1,024 bytes and, where its first bytes are given, a PDF."""
+    large = F.coalesce(size, F.lit(0)) > LEAST_PRINT
+    return large if head is None else large & F.startswith(F.coalesce(head, F.lit("")), F.lit("%PDF"))
+
+
+def file_name(path: Column) -> Column:
+    """The part of a path or address behind the last slash, without what follows a question mark."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[?#].*$", "")
+
+
 def iso_date(text: Column) -> Column:
     """struct(date, error): a date written yyyy-mm-dd. Nothing gives neither, anything else an error."""
     written = F.nullif(F.trim(text), F.lit(""))

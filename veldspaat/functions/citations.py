@@ -15,15 +15,16 @@ MARK = " ⚠️[niet in corpus]"
 
 
 def starts(text: Column, pattern: str) -> Column:
-    """Character offsets of all matches: the gaps between matches and the matches before each, added up."""
+    """Character offsets of all matches, by one running sum over the gaps between matches and the matches themselves."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     widths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(widths)), widths, lambda gap, width: F.struct(gap.alias("gap"), width.alias("width")))
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
 
-    def offset(_: Column, i: Column) -> Column:
-        sums = F.slice(gaps, 1, i + 1), F.slice(widths, 1, i)
-        return F.aggregate(sums[0], F.lit(0), lambda n, x: n + x) + F.aggregate(sums[1], F.lit(0), lambda n, x: n + x)
+    def step(done: Column, s: Column) -> Column:
+        return F.struct(F.array_append(done["at"], done["end"] + s["gap"]).alias("at"), (done["end"] + s["gap"] + s["width"]).alias("end"))
 
-    return F.transform(widths, offset)
+    return F.aggregate(steps, none, step, lambda done: done["at"])
 
 
 def references(text: Column) -> Column:
@@ -40,6 +41,14 @@ def references(text: Column) -> Column:
     return F.concat(*[found(kind, pattern) for kind, pattern in KINDS])
 
 
+def basis_parts(basis: Column) -> Column:
+    """struct(key, member) of a basis such as BW:7:958:5: a book of the BW belongs to the key, elsewhere the key has two parts."""
+    part = F.split(basis, ":")
+    book = F.get(part, F.lit(0)) == "BW"
+    size = F.when(book, 3).otherwise(2)
+    return F.struct(F.array_join(F.slice(part, 1, size), ":").alias("key"), F.get(part, size).alias("member"))
+
+
 def law_keys(article: Column) -> Column:
     """Spellings under which an article can be cited."""
     key = F.lower(F.trim(article))

@@ -31,7 +31,7 @@ COMPLAINT = tuple(rf"(?s)\b\d\s*\.\s*{title}\b\s*(.*?)(?=\b\d\s*\.\s*[A-Z])" for
 )
 _AFTER = r"(?=Deze uitspraak is|Of u tegen deze uitspraak|Binnen 2 weken|{}In artikel \d+ van het Reglement|U kunt|$)"
 DECISION = (r"(?s)(?:\b\d\s*\.\s*)?\bDe beslissing\b\s*(.*?)" + _AFTER.format("Bij deze uitspraak|"), r"(?s)\bBeslissing\b\s*(.*?)" + _AFTER.format(""))
-CONCLUSION = r"(?s)\bConclusie\b\s*(.*?)(?=(?:\b\d\s*\.\s*)?\bDe beslissing\b|\bConclusie\b|$)"
+CONCLUSION = r"(?s)\bConclusie\b\s*(.*?)(?=(?:\b\d\s*\.\s*)?\bDe beslissing\b|$)"
 NOTES = r"(?s)\s+\d+\s+(?:Artikel|HR |Hoge Raad|Zie ook|Verordening|Dit volgt).*$"
 PAGE = r"\s*\d{1,2}\s*/\s*\d{1,3}\s*$"
 
@@ -63,6 +63,11 @@ def nature(text: Column) -> Column:
     return F.struct(kind.alias("aard"), (~F.startswith(F.lower(kind), F.lit("niet"))).alias("bindend"))
 
 
+def number_of(title: Column, text: Column) -> Column:
+    """The ruling number in the title, else behind "nr" in the text; null if neither has one."""
+    return F.coalesce(_found(collapse(title), r"(\d{4}-\d{3,5})"), _found(text, r"\bnr\.?\s*(\d{4}-\d{3,5})"))
+
+
 def printed_date(text: Column) -> Column:
     """The date of the ruling as printed; null for a day that doesn't exist."""
     return F.get(dates(collapse(_by_layout(text, DATE))), F.lit(0))
@@ -87,7 +92,10 @@ def decision(text: Column) -> Column:
 
 
 def conclusion(text: Column) -> Column:
-    """The last conclusion of more than 60 and fewer than 2,500 characters, at most 1,200 of them."""
+    """The last conclusion of more than 60 and fewer than 2,500 characters, at most 1,200 of them.
+
+    A conclusion runs on to the decision or the end, over further headings of its kind.
+    """
     all_of_them = F.transform(F.regexp_extract_all(text, F.lit(CONCLUSION), F.lit(1)), lambda t: F.trim(F.regexp_replace(collapse(t), PAGE, "")))
     fit = F.filter(all_of_them, lambda t: (F.length(t) > 60) & (F.length(t) < 2500))
     return clipped(F.when(F.size(fit) > 0, F.element_at(fit, -1)), 1200)

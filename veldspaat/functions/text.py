@@ -5,8 +5,10 @@ All are built-in expressions, null in gives null out unless said otherwise.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,11 +120,26 @@ def without_furniture(text: Column) -> Column:
     bare = F.regexp_replace(text, "[­﻿]", "")
     for apart, word in SPLIT_WORDS.items():
         bare = F.replace(bare, F.lit(apart), F.lit(word))
-    lines = F.transform(F.filter(F.split(bare, "\n"), lambda r: ~r.rlike(FURNITURE)), lambda r: F.rtrim(r))
+    lines = F.transform(F.filter(F.split(bare, "\n"), lambda r: ~r.rlike(FURNITURE)), lambda r: F.regexp_replace(r, f"{SPACE}+$", ""))
     out = F.regexp_replace(F.array_join(lines, "\n"), "(?<=[a-zà-öø-ÿ])-\n(?=[a-zà-öø-ÿ])", "")
     return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n")
 
 
+def composed(text: Column) -> Column:
+    """Letters and their marks as single characters (NFC), by whole Arrow batches: Spark has no expression for it."""
+
+    @F.arrow_udf("string")
+    def nfc(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
+
+    return nfc(text)
+
+
+def cleaned(text: Column) -> Column:
+    """A printed text made readable without changing its wording: composed characters, no furniture, no hyphenation."""
+    return without_furniture(composed(text))
+
+
 #: Starts of a line that opens an item of its own. Fixed values.
 ITEM = r"^(?:[•·–]|-\s|[a-z]\.\s|\d+\.\s|\d+(?:\.\d+)+\s|Artikel \d+)"
 
@@ -167,6 +184,26 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.struct(F.when(error.isNull(), F.trim(cut)).alias("cut"), error.alias("error"))
 
 
+def _spelt(marker: Column) -> Column:
+    """A pattern for a marker, whatever white space stands between its words."""
+    return F.array_join(F.transform(F.split(collapse(marker), " "), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), f"{SPACE}+")
+
+
+def clause_between(text: Column, start: Column, end: Column, lead: Column) -> Column:
+    """struct(cut, error): the text from ``start`` up to ``end`` as ``between`` finds it, with its lines kept.
+
+    Wrapped lines are joined to their paragraph. A ``lead`` that isn't null is cut off the beginning of the piece, and
+    must stand there, else that is the error.
+    """
+    found = between(text, start, end)["error"]
+    until = F.when(end.isNull(), F.lit("$")).otherwise(F.concat(F.lit("(?="), _spelt(end), F.lit(")")))
+    raw = F.call_function("regexp_extract", text, F.concat(F.lit("(?s)("), _spelt(start), F.lit(".*?)"), until), F.lit(1))
+    piece = rejoined(raw)
+    kept = F.when(lead.isNull(), piece).otherwise(F.regexp_replace(piece, F.concat(F.lit("^"), F.coalesce(_spelt(lead), F.lit("")), F.lit(f"{SPACE}*")), F.lit("")))
+    error = F.coalesce(found, F.when(lead.isNotNull() & ~F.startswith(collapse(piece), collapse(lead)), "lead not at the beginning"))
+    return F.struct(F.when(error.isNull(), kept).alias("cut"), error.alias("error"))
+
+
 #: Dutch month names in order. Fixed values.
 MONTHS = ("januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december")
 DATE = r"\b(\d{1,2}) (" + "|".join(MONTHS) + r") (\d{4})\b"

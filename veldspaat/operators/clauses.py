@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspaat.functions.text import between
+from veldspaat.functions.text import clause_between
 from veldspaat.plans.joins import sized_join
 from veldspaat.plans.shared import written
 
@@ -16,13 +16,15 @@ from veldspaat.plans.shared import written
 BLOCK = 25
 
 
-def cut_clauses(documents: DataFrame, specs: DataFrame, *, on: str, text: str, start: str, end: str) -> DataFrame:
-    """``specs`` with ``cut`` and ``error``: the text between the markers of each spec in its document.
+def cut_clauses(documents: DataFrame, specs: DataFrame, *, on: str, text: str, start: str, end: str, lead: str | None = None) -> DataFrame:
+    """``specs`` with ``cut`` and ``error``: the text between the markers of each spec in its document, in paragraphs.
+
+    Column ``lead``, where given and not null, names a beginning that is cut off the piece.
 
     Specs of an unknown document give no row; a marker that isn't there exactly once gives an error, not a guess.
     """
     joined = sized_join(documents.select(on, F.col(text).alias("_text")), written(specs, "specs"), [on])
-    done = joined.withColumn("_cut", between(F.col("_text"), F.col(start), F.col(end)))
+    done = joined.withColumn("_cut", clause_between(F.col("_text"), F.col(start), F.col(end), F.col(lead) if lead else F.lit(None).cast("string")))
     return done.select(*specs.columns, F.col("_cut.cut").alias("cut"), F.col("_cut.error").alias("error"))
 
 

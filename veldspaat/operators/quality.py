@@ -28,10 +28,10 @@ def mixed_hashes(rows: DataFrame, *, source: str, digest: Column) -> DataFrame:
 def containment(left: DataFrame, right: DataFrame, *, on: list[str], part: str, whole: str) -> DataFrame:
     """Rows of ``left`` joined to ``right`` on equal keys, with ``verbatim``: whether the letters of ``part`` stand in ``whole``.
 
-    Containment alone would need every pair; the key makes it an equi join.
+    Containment alone would need every pair; the key makes it an equi join. Letters are taken on each side, once a row.
     """
-    joined = left.join(right, on)
-    return joined.withColumn("verbatim", F.contains(letters(F.col(whole)), letters(F.col(part))))
+    joined = left.withColumn("_part", letters(F.col(part))).join(right.withColumn("_whole", letters(F.col(whole))), on)
+    return joined.withColumn("verbatim", F.contains("_whole", F.col("_part"))).drop("_part", "_whole")
 
 
 def covered(references: DataFrame, records: DataFrame, *, key: str, member: str, members: str) -> DataFrame:

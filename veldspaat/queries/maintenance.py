@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspaat.functions.text import after_contents, between, clipped, collapse, dates, letters, normal, rejoined, tags, ticks_date, without_furniture, without_tags
+from veldspaat.functions.text import ITEM, after_contents, between, cleaned, clipped, collapse, dates, letters, normal, rejoined, tags, ticks_date, without_tags
 from veldspaat.operators.gate import redirect_verified
 from veldspaat.operators.profiles import band_statistics, runs, steepest, trailing_and_following
 from veldspaat.operators.quality import TYPES, containment, mixed_hashes, report, row_violations
 from veldspaat.operators.ranking import capped, first_per_key, label, numbered, seeded, top_per_group, viewport, words_in
 from veldspaat.operators.versions import version_on
+from veldspaat.queries.sqltext import clean as clean_sql
 from veldspaat.queries.sqltext import collapse as squash
 from veldspaat.sources.tables import table
 
@@ -170,7 +171,7 @@ def ticks_dates(spark: SparkSession, folder: str) -> DataFrame:
 def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Clauses with page furniture and hyphenation removed and wrapped lines joined, by length before and after."""
     rows = table(spark, folder, "polisvoorwaarden").where("tekst is not null").select("rij_id", "tekst").distinct()
-    return rows.select("rij_id", F.length("tekst").alias("before"), F.length(rejoined(without_furniture(F.col("tekst")))).alias("after"))
+    return rows.select("rij_id", F.length("tekst").alias("before"), F.length(rejoined(cleaned(F.col("tekst")))).alias("after"))
 
 
 def toc_cut(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,6 +289,14 @@ select rij_id, case when length(t) <= 400 then t when dot > 160 then left(c, dot
     when (length(t) - length(replace(t, '2.', ''))) // 2 <> 1 then 'end ' || (length(t) - length(replace(t, '2.', ''))) // 2 || 'x'
     when strpos(t, '2.') <= strpos(t, '1.') then 'end before start' end as error
   from (select distinct rij_id, {squash("tekst")} as t from wetgeving where tekst is not null))""",
+    "clean_lines": f"""select rij_id, length(tekst)::int as before, length(array_to_string(list_transform(lines, lambda r, i: case when i = 1 then '' when regexp_matches(r, '{ITEM}') then chr(10) else ' ' end || r), ''))::int as after
+  from (select rij_id, tekst, list_filter(list_transform(string_split({clean_sql("tekst")}, chr(10)), lambda r: trim(regexp_replace(r, '[ \t\r]+', ' ', 'g'))), lambda r: r <> '') as lines
+    from (select distinct rij_id, tekst from polisvoorwaarden where tekst is not null))""",
+    "toc_cut": """with t as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
+l as (select *, list_max(list_transform(range(1, least(len(lines), 220) + 1), lambda i: case when length(trim(lines[i])) > 15 and regexp_matches(trim(lines[i]), '^\S.*\s\d{1,3}\s*$') then i end)) as last from t),
+b as (select *, case when last is null then text else array_to_string(lines[last + 1:], chr(10)) end as body from l)
+select doc_id, length(text)::int as before, (case when length(body) >= 0.5 * length(text) then length(body) else -1 end)::int as after from b
+where length(body) < 0.5 * length(text) or body <> text""",
     "runs_islands": """select user_id, event_type, max(n) as longest, count(*) as n_runs from (
   select user_id, event_type, island, count(*) as n from (select user_id, event_type, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as island from events) group by all) group by all""",
     "trailing_means": """select event_id, floor(before)::bigint as before, floor(after)::bigint as after from (

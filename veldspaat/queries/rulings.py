@@ -10,6 +10,7 @@ from veldspaat.functions.text import clipped, collapse, letters
 from veldspaat.operators.clauses import cut_clauses, foreign_stretches
 from veldspaat.operators.gate import print_check
 from veldspaat.operators.ranking import first_per_key
+from veldspaat.queries.sqltext import collapse as squash
 from veldspaat.sources.tables import table
 
 
@@ -51,7 +52,7 @@ def member_cut(spark: SparkSession, folder: str) -> DataFrame:
     laws = first_per_key(table(spark, folder, "wetgeving").where("size(leden) > 1"), ["rij_id"], [F.col("rij_id")])
     specs = laws.select("rij_id", F.left(F.get("leden", F.lit(0)), F.lit(40)).alias("van"), F.left(F.get("leden", F.lit(1)), F.lit(40)).alias("tot"))
     cut = cut_clauses(laws, specs, on="rij_id", text="tekst", start="van", end="tot")
-    state = F.coalesce("error", F.when(F.col("cut") == collapse(F.get("leden", F.lit(0))), "equal").otherwise("other"))
+    state = F.coalesce("error", F.when(collapse(F.col("cut")) == collapse(F.get("leden", F.lit(0))), "equal").otherwise("other"))
     return cut.join(laws.select("rij_id", "leden"), "rij_id").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -66,6 +67,11 @@ def nonverbatim_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (rulings_read_back, print_checks, member_cut, nonverbatim_gaps)}
 SQL = {
+    "member_cut": f"""
+with t as (select rij_id, {squash("tekst")} as t, {squash("left(leden[1], 40)")} as a, {squash("left(leden[2], 40)")} as b, {squash("leden[1]")} as lid from wetgeving where len(leden) > 1 qualify row_number() over (partition by rij_id) = 1),
+n as (select *, (length(t) - length(replace(t, a, ''))) // length(a) as na, (length(t) - length(replace(t, b, ''))) // length(b) as nb from t)
+select case when na <> 1 then 'start ' || na || 'x' when nb <> 1 then 'end ' || nb || 'x' when strpos(t, b) <= strpos(t, a) then 'end before start'
+  when trim(substr(t, strpos(t, a), strpos(t, b) - strpos(t, a))) = lid then 'equal' else 'other' end as state, count(*) as n from n group by 1""",
     "print_checks": """select verified, note, count(*) as n from (select
   coalesce(audit_bevinding, '') = '' and coalesce(pdf_url, '') <> '' and coalesce(pdf_http_status = 200, false) and pdf_leesfout is null and coalesce(nummer_in_pdf and uitspraaknummer <> '', false) as verified,
   case when coalesce(audit_bevinding, '') <> '' then 'audit' when coalesce(pdf_url, '') = '' then 'no address'

@@ -1,6 +1,6 @@
 """Pieces of SQL that several queries share."""
 
-from veldspaat.functions.text import SPACE, STOPWORDS, TOKEN
+from veldspaat.functions.text import FURNITURE, SPACE, STOPWORDS, TOKEN
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -17,3 +17,12 @@ def collapse(text: str) -> str:
 
 def joined(*columns: str) -> str:
     return " || ' ' || ".join(f"coalesce(cast({c} as varchar), '')" for c in columns)
+
+
+def clean(text: str) -> str:
+    """Cleaning in SQL; hyphens are joined twice, as a letter between two of them belongs to both."""
+    out = f"replace(replace(replace(regexp_replace(nfc_normalize({text}), '[' || chr(173) || chr(65279) || ']', '', 'g'), 'T errorisme', 'Terrorisme'), 'T otale', 'Totale'), 'T eruggevonden', 'Teruggevonden')"
+    out = f"array_to_string(list_transform(list_filter(string_split({out}, chr(10)), lambda r: not regexp_matches(r, '{FURNITURE}')), lambda r: regexp_replace(r, '{SPACE}+$', '')), chr(10))"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '([a-zà-öø-ÿ])-\\n([a-zà-öø-ÿ])', '\\1\\2', 'g')"
+    return f"regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"

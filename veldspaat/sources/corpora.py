@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldspaat.operators.gate import gate_status
+
 WETGEVING = (
     "wet string, bwb_id string, artikel string, titel string, tekst string, leden array<string>, onderwerp string, structuur array<string>, geldig_op date, "
     "toestand_einddatum date, bron_url string, bron_xml_url string, bron_verificatie_url string, bron_geverifieerd boolean, opgehaald_op date"
@@ -24,6 +26,8 @@ POLISVOORWAARDEN = (
 )
 #: Column definitions of each corpus; parsed when a session is there.
 SCHEMAS = {"wetgeving": WETGEVING, "kifid": KIFID, "polisvoorwaarden": POLISVOORWAARDEN}
+#: What a record of each corpus is called.
+NAMES = {"wetgeving": "artikel", "kifid": "uitspraaknummer", "polisvoorwaarden": "clausule_id"}
 #: The fields of each corpus that retrieval indexes.
 FIELDS = {
     "kifid": ("uitspraaknummer", "titel", "kern_klacht", "samenvatting", "kernoverweging", "categorie"),
@@ -40,28 +44,37 @@ def schema_of(corpus: str) -> T.StructType:
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType, *, lines: bool = False) -> DataFrame:
     """Records of a JSON file that is an array or an object with an array ``records``; nothing is inferred.
 
-    Values that aren't objects become no records. With ``lines`` each line is a record, and files are split over tasks.
+    Values that aren't objects become no records, nor does an object without ``records``. A file that isn't JSON, or was
+    cut off, fails when it is read. With ``lines`` each line is a record, files are split over tasks, and a line that isn't
+    an object fails.
+    """
+    if lines:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    text = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
+    if text.isEmpty():  # Spark passes over files without content
+        raise ValueError(f"nothing in {path}")
+    parsed = F.try_parse_json("value")
+    whole = text.select(F.when(parsed.isNull(), F.raise_error(F.lit("no valid JSON")).cast("variant")).otherwise(parsed).alias("v"))
+    held = F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.try_variant_get("v", "$.records", "variant")).otherwise(F.col("v"))
+    lists = whole.select(held.alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")))
+    values = lists.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")))
+    return values.select(F.from_json(F.to_json("value"), schema).alias("r")).select("r.*")
+
+
+def load_status(spark: SparkSession, paths: dict[str, str], *, lines: bool = False, most: int = 10) -> DataFrame:
+    """(corpus, geladen, records, geweigerd, geweigerde_ids, fout): every named corpus, loaded or with the error that kept it out.
+
+    records are the usable ones; geweigerd those that are explicitly unverified, with the first ``most`` of their ids in
+    order. Never raises.
     """
-    kinds = {f.name for f in schema}
-    wide = T.StructType([*schema, T.StructField("records", T.ArrayType(schema))])
-    rows = spark.read.schema(wide).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
-    single = rows.where("records is null").drop("records")
-    inside = rows.where("records is not null").select(F.inline("records"))
-    any_value = F.lit(False)
-    for name in kinds:
-        any_value = any_value | F.col(name).isNotNull()
-    return single.unionByName(inside).where(any_value)
-
-
-def load_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(corpus, geladen, records, fout): every named corpus, loaded or with the error that kept it out. Never raises."""
     rows = []
     for name, path in paths.items():
         try:
-            rows.append((name, True, read_corpus(spark, path, schema_of(name)).count(), None))
+            status = gate_status(read_corpus(spark, path, schema_of(name), lines=lines), verified=F.col("bron_geverifieerd") if "bron_geverifieerd" in SCHEMAS[name] else F.lit(None).cast("boolean"), names=[F.col(NAMES[name])], most=most).first()
+            rows.append((name, True, status["usable"], status["refused"], status["refused_ids"], None))
         except Exception as error:  # noqa: BLE001 - whatever the source does, the others must load
-            rows.append((name, False, 0, str(error).splitlines()[0][:200]))
-    return spark.createDataFrame(rows, "corpus string, geladen boolean, records long, fout string")
+            rows.append((name, False, 0, 0, "", str(error).splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "corpus string, geladen boolean, records long, geweigerd long, geweigerde_ids string, fout string")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -101,8 +101,8 @@ def _shingle_sets(width: int):
 def near_copies(records: DataFrame, *, item: str, text: Column, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Classes of records with equal shingle sets, and the similar pairs of classes.
 
-    Gives (members, links): members is (item, class, copies), one row per record; links is (a, b, similarity) with
-    a < b, each pair of classes whose Jaccard similarity of shingle sets is at least ``similarity``. Records of one class
+    Gives (members, links): members is (item, class, copies), one row per record, a class being called by its smallest
+    item; links is (a, b, similarity) with a < b, each pair of classes whose Jaccard similarity of shingle sets is at least ``similarity``. Records of one class
     have similarity 1. Rows with an equal ``item`` are one record; a null item, a null text and a text of fewer words
     than a shingle belong to no class. An empty table gives two empty ones.
 
@@ -114,31 +114,30 @@ def near_copies(records: DataFrame, *, item: str, text: Column, width: int = WID
     schema = T.StructType([key, T.StructField("_class", T.StringType()), T.StructField("_size", T.IntegerType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
     signed = written(base.mapInArrow(_signatures(width, rows, bands), schema), "copies-signatures")
 
-    classes = signed.groupBy("_class").agg(F.min("_item").alias("_item"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
-    buckets = written(classes.select("_class", "_size", F.posexplode("_bands").alias("_band", "_value")).select("_class", "_size", F.xxhash64("_band", "_value").alias("_bucket")), "copies-buckets")
-    shared = buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    met = salted_join(buckets, shared, "_bucket", "_n", buckets.count(), "_class")
+    classes = signed.groupBy("_class").agg(F.min("_item").alias("class"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
+    buckets = classes.select("class", "_size", F.posexplode("_bands").alias("_band", "_value")).select("class", "_size", F.xxhash64("_band", "_value").alias("_bucket"))
+    buckets = written(buckets, "copies-buckets")
+    shared = written(buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "copies-shared")
+    met = written(salted_join(buckets, shared, "_bucket", "_n", buckets.count(), "class"), "copies-met")
     least, most = F.least("_size_a", "_size_b"), F.greatest("_size_a", "_size_b")
-    pairs = pairs_within(met, "_bucket", "_class", "_n", carry=("_size",)).where(least >= most * similarity).select("a", "b").distinct()
+    pairs = pairs_within(met, "_bucket", "class", "_n", carry=("_size",)).where(least >= most * similarity).select("a", "b").distinct()
     pairs = written(pairs, "copies-pairs")
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_class")).groupBy("_class").agg(F.count("*").alias("_n"))
-    chosen = signed.groupBy("_class").agg(F.min("_item").alias("_item")).join(used, "_class")
-    chosen = written(chosen, "copies-representatives")
-    schema = T.StructType([key, T.StructField("_class", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_set", T.ArrayType(T.LongType()))])
-    sets = sized_join(base, chosen, ["_item"]).select("_item", "_class", "_n", "_text").mapInArrow(_shingle_sets(width), schema)
-    sets = written(sets.dropDuplicates(["_class"]).select("_class", "_n", "_set"), "copies-sets")
+    chosen = written(pairs.select(F.explode(F.array("a", "b")).alias("_item")).groupBy("_item").agg(F.count("*").alias("_n")), "copies-representatives")
+    schema = T.StructType([key, T.StructField("_n", T.LongType()), T.StructField("_set", T.ArrayType(T.LongType()))])
+    sets = sized_join(base, chosen, ["_item"]).select("_item", "_n", "_text").mapInArrow(_shingle_sets(width), schema)
+    sets = written(sets.dropDuplicates(["_item"]), "copies-sets")
     total = pairs.count()
-    both = salted_join(pairs, sets.select(F.col("_class").alias("a"), "_n", F.col("_set").alias("_set_a")), "a", "_n", total, "b").drop("_n")
-    both = salted_join(both, sets.select(F.col("_class").alias("b"), "_n", F.col("_set").alias("_set_b")), "b", "_n", total, "a")
+    both = salted_join(pairs, sets.select(F.col("_item").alias("a"), "_n", F.col("_set").alias("_set_a")), "a", "_n", total, "b").drop("_n")
+    both = salted_join(both, sets.select(F.col("_item").alias("b"), "_n", F.col("_set").alias("_set_b")), "b", "_n", total, "a")
     common = F.size(F.array_intersect("_set_a", "_set_b"))
     links = both.select("a", "b", common.alias("_c"), (F.size("_set_a") + F.size("_set_b") - common).alias("_u")).where(F.col("_c") >= F.col("_u") * F.lit(similarity) - 1e-9)
     links = written(links.select("a", "b", (F.col("_c") / F.col("_u")).alias("similarity")), "copies-links")
 
-    members = signed.select(F.col("_item").alias(item), F.col("_class").alias("class")).distinct()
-    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
-    members = written(members, "copies-members")
-    return salted_join(members, copies, "class", "copies", members.count(), item).select(item, "class", "copies"), links
+    held = written(signed.select("_item", "_class").distinct(), "copies-members")
+    named = held.groupBy("_class").agg(F.min("_item").alias("class"), F.count("*").alias("copies"))
+    members = salted_join(held, named, "_class", "copies", held.count(), "_item")
+    return members.select(F.col("_item").alias(item), "class", "copies"), links
 
 
 def item_pairs(members: DataFrame, links: DataFrame, *, item: str) -> DataFrame:

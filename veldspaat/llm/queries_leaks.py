@@ -36,5 +36,15 @@ reeksen as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i
 select distinct item_id, doc_id from stukken join reeksen using (s)
 """
 
+_ITEMS = r"""
+with stukken as (select item_id, i, array_to_string(w[i:i + 12], ' ') as s from (select *, unnest(range(1, len(w) - 11)) as i
+  from (select distinct item_id, regexp_extract_all(lower(tekst), '[\p{L}\p{Nd}]+') as w from toetsitems))),
+reeksen as (select doc_id, j, array_to_string(w[j:j + 12], ' ') as s from (select *, unnest(range(1, len(w) - 11)) as j
+  from (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as w from documents))),
+raak as (select item_id, doc_id, j - i as schuif, i, i - row_number() over (partition by item_id, doc_id, j - i order by i) as loop from stukken join reeksen using (s)),
+lopen as (select item_id, doc_id, count(*) + 12 as n from raak group by item_id, doc_id, schuif, loop)
+select item_id, count(distinct doc_id) as n_docs, max(n)::int as longest from lopen group by item_id
+"""
+
 QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages, "p6_items": p6_items}
-SQL = {"p6_found": _FOUND}
+SQL = {"p6_found": _FOUND, "p6_items": _ITEMS}

@@ -36,5 +36,14 @@ with texts as (
 select distinct bron, rij_id from vensters where h in (select h from vensters group by h having min(eigenaar) <> max(eigenaar))
 """
 
+_SPANS = _FOUND.replace("eigenaar, md5(", "eigenaar, i, md5(").replace("select distinct bron, rij_id from vensters", """, herhaald as (select distinct bron, rij_id, i from vensters""") + """),
+stukken as (select bron, rij_id, i, sum(nieuw) over (partition by bron, rij_id order by i) as stuk from (
+  select *, case when i - lag(i) over (partition by bron, rij_id order by i) <= 160 then 0 else 1 end as nieuw from herhaald)),
+delen as (select bron, rij_id, (min(i) - 1)::int as start, (max(i) + 159)::int as stop from stukken group by bron, rij_id, stuk),
+gedeeld as (select bron, rij_id, sum(stop - start)::int as n_shared from delen group by all)
+select d.bron, d.rij_id, length(t)::int as n_chars, n_shared, round(n_shared / length(t), 6) as share, start, stop
+from delen d join gedeeld g on d.bron = g.bron and d.rij_id = g.rij_id join (select distinct bron, rij_id, t from texts) x on x.bron = d.bron and x.rij_id = d.rij_id
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans}
-SQL = {"p1_found": _FOUND}
+SQL = {"p1_found": _FOUND, "p1_spans": _SPANS}

@@ -72,7 +72,7 @@ def verdicts(ranked: DataFrame, *, query: str, verdict: str) -> DataFrame:
     return counts.groupBy(query).agg(F.sum("_n").alias("n"), summary.alias("summary"))
 
 
-#: What an answer must keep to; the context follows.
+#: What an answer must keep to, in words of our own; the context follows.
 RULES = """Beantwoord de vraag alleen met de bronnen hieronder.
 1. Noem bij elke bewering de bron waar zij op rust.
 2. Noem geen artikel, uitspraak of clausule die niet hieronder staat.
@@ -85,6 +85,6 @@ BRONNEN
 """
 
 
-def prompt(context: Column) -> Column:
+def prompt(context: Column, rules: str = RULES) -> Column:
     """The instructions for an answer with its context; without any, the context says that nothing was found."""
-    return F.concat(F.lit(RULES), F.coalesce(F.nullif(context, F.lit("")), F.lit(NOTHING)))
+    return F.concat(F.lit(rules), F.coalesce(F.nullif(context, F.lit("")), F.lit(NOTHING)))

@@ -106,36 +106,33 @@ def shared_spans(records: DataFrame, *, ids: list[str], owner: Column, text: Col
     of its own per record. Null, empty and short texts share nothing; an empty table gives no rows; columns not named
     are ignored.
 
-    A span that a third of all records hold is counted by partial aggregation, and the join that brings the counts back
-    spreads such a hash over many partitions. Records are rejoined with their texts only where round 1 found something.
+    Texts are written once with a number for each row; after that only numbers, places and hashes are moved. A span that a
+    third of all records hold is counted by partial aggregation, and the join that brings the counts back spreads such a
+    hash over many partitions. Rows are rejoined with their texts only where round 1 found something.
     """
     own = F.when(owner.isNotNull(), F.xxhash64(F.lit("o"), owner)).otherwise(F.xxhash64(F.lit("r"), F.to_json(F.struct(*ids))))
-    base = records.select(*ids, own.alias("_owner"), text.alias("_text")).where(F.length("_text") >= length)
-    rec = F.struct(*ids).alias("_rec")
+    texts = records.select(*ids, own.alias("_owner"), text.alias("_text")).where(F.length("_text") >= length)
+    base = written(texts.select("*", F.length("_text").alias("n_chars"), F.monotonically_increasing_id().alias("_row")), "span-texts")
     long, whole = T.LongType(), T.IntegerType()
-    schema = T.StructType([*base.drop("_text").schema, T.StructField("_place", whole), T.StructField("_hash", long)])
+    schema = T.StructType([T.StructField("_row", long), T.StructField("_owner", long), T.StructField("_place", whole), T.StructField("_hash", long)])
 
     def repeated(windows: DataFrame, key: list[str]) -> DataFrame:
         owners = windows.groupBy(*key).agg(F.min("_owner").alias("_a"), F.max("_owner").alias("_b"), F.count("*").alias("_n"))
-        return salted_join(windows.drop("_owner"), owners.where("_a < _b").select(*key, "_n"), key, "_n", windows.count(), "_rec")
+        return salted_join(windows.drop("_owner"), owners.where("_a < _b").select(*key, "_n"), key, "_n", windows.count(), "_row")
 
-    kept = base.mapInArrow(_candidates(length), schema).select(rec, "_owner", "_place", "_hash")
-    near = repeated(written(kept, "span-candidates"), ["_hash"]).groupBy("_rec").agg(F.collect_set("_place").alias("_places"))
+    kept = base.select("_row", "_owner", "_text").mapInArrow(_candidates(length), schema)
+    near = repeated(written(kept, "span-candidates"), ["_hash"]).groupBy("_row").agg(F.collect_set("_place").alias("_places"))
     near = written(near, "span-places")
 
     schema = schema.add(T.StructField("_hash2", long))
-    found = base.withColumn("_rec", rec).join(near, "_rec").drop("_rec").mapInArrow(_windows(length), schema)
-    windows = written(found.select(rec, "_owner", "_place", "_hash", "_hash2"), "span-windows")
-    starts = repeated(windows, ["_hash", "_hash2"]).groupBy("_rec").agg(F.array_sort(F.collect_set("_place")).alias("_starts"))
+    found = base.select("_row", "_owner", "_text").join(near, "_row").mapInArrow(_windows(length), schema)
+    windows = written(found, "span-windows")
+    starts = repeated(windows, ["_hash", "_hash2"]).groupBy("_row").agg(F.array_sort(F.collect_set("_place")).alias("_starts"))
 
-    sizes = base.select(rec, F.length("_text").alias("n_chars")).join(near.select("_rec"), "_rec", "left_semi").dropDuplicates(["_rec"])
     here = F.col("_starts")
     first = F.filter(here, lambda s, i: (i == 0) | (s - F.get(here, i - 1) > length))
     last = F.filter(here, lambda s, i: (i == F.size(here) - 1) | (F.get(here, i + 1) - s > length))
     spans = F.arrays_zip(first.alias("start"), F.transform(last, lambda s: s + length).alias("stop"))
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
-    return (
-        starts.select("_rec", spans.alias("spans"))
-        .join(sizes, "_rec")
-        .select("_rec.*", "n_chars", "spans", covered.alias("n_shared"), (covered / F.col("n_chars")).alias("share"))
-    )
+    found = written(starts.select("_row", spans.alias("spans")), "spans").join(base.select(*ids, "n_chars", "_row"), "_row")
+    return found.dropDuplicates(ids).select(*ids, "n_chars", "spans", covered.alias("n_shared"), (covered / F.col("n_chars")).alias("share"))

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from veldspaat.functions.text import without_furniture
 from veldspaat.operators.ranking import label
-from veldspaat.plans.tasks import planned
+from veldspaat.plans.tasks import TASKS, planned
 from veldspaat.queries import maintenance, retrieval
 
 
 def test_tasks_search_whole_complaints(spark, tmp_path):
     text = "woord " * 150 + "zeldzaam"
-    spark.createDataFrame([(n, text) for n in range(8)], "rij_id long, kern_klacht string").write.parquet(f"{tmp_path}/kifid.parquet")
-    asked = {r.functie: r.question for r in planned(retrieval._requests(spark, str(tmp_path)), task="functie", text="vraag").collect()}
+    spark.createDataFrame([(n, text) for n in (5, 100, 1200)], "rij_id long, kern_klacht string").write.parquet(f"{tmp_path}/kifid.parquet")
+    requests = retrieval._requests(spark, str(tmp_path))
+    assert {r.req for r in requests.collect()} == {f"{t}-{n}" for t, spec in TASKS.items() for n in (100, 1200) if spec[3] != 0} | {t for t, spec in TASKS.items() if spec[3] == 0}
+    asked = {r.functie: r.question for r in planned(requests, task="functie", text="vraag").collect()}
     assert asked["dekkingscheck"] == asked["precedentzoeker"] == asked["begripsuitleg"] == text
     assert asked["polisvergelijker"].startswith(text) and asked["afwijzingsanalyse"].startswith(text[:600] + " afwijzing")
 

@@ -16,6 +16,7 @@ from veldspaat.queries.sqltext import collapse as squash
 from veldspaat.sources.tables import table
 
 DAY = "2020-01-01"
+NEWER = "1997-06-30"
 WORDS = ["polis", "premie", "gids", "bank", "markt", "wijzer"]
 
 
@@ -56,10 +57,10 @@ def upsert_lastwins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_anti(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders taken over from an older list unless a newer one has the customer."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    newer = orders.where("o_orderkey % 2 = 0").select("o_custkey").distinct()
-    return orders.where("o_orderkey % 2 = 1").join(newer, "o_custkey", "left_anti").select("o_orderkey", "o_custkey", "o_orderstatus")
+    """Orders taken over from the list up to a day unless the list after it has the customer."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_orderdate") > F.lit(NEWER).cast("date")).alias("newer"))
+    newer = orders.where("newer").select("o_custkey").distinct()
+    return orders.where("not newer").join(newer, "o_custkey", "left_anti").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 def cap_per_host(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +248,7 @@ SQL = {
     "upsert_lastwins": """with latest as (select product, clausule_id, opgehaald_op, coalesce(tekst, '') as tekst from polis_levering
   qualify row_number() over (partition by product, clausule_id order by opgehaald_op desc nulls last, ingelezen_op desc nulls last, coalesce(tekst, '') desc) = 1)
 select strftime(opgehaald_op, '%Y-%m-%d') as opgehaald_op, count(*) as clausules, sum(length(tekst))::bigint as n_chars from latest group by 1""",
-    "upsert_anti": "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 0)",
+    "upsert_anti": f"select o_orderkey, o_custkey, o_orderstatus from orders where o_orderdate <= date '{NEWER}' and o_custkey not in (select o_custkey from orders where o_orderdate > date '{NEWER}')",
     "cap_per_host": """select doc_id, host, source from (select * from documents where source is not null qualify row_number() over (partition by host order by doc_id) <= 3)
   union all select doc_id, host, source from documents where source is null""",
     "seeded_sample": "select doc_id, md5('20260913:' || doc_id) as draw from documents order by draw, doc_id limit 100",

@@ -112,14 +112,18 @@ def precedent_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    """(req, functie, vraag): the whole text of each complaint as a request, the tasks taken in turn."""
-    names = F.array(*[F.lit(t) for t in TASKS])
-    asked = first_per_key(table(spark, folder, "kifid").where("kern_klacht is not null"), ["rij_id"], [F.col("rij_id")])
-    return asked.select(F.concat_ws("-", F.lit("k"), "rij_id").alias("req"), F.get(names, (F.col("rij_id") % len(TASKS)).cast("int")).alias("functie"), F.col("kern_klacht").alias("vraag"))
+    """(req, functie, vraag): complaints as requests, each whole and under every task that searches its text; a task with
+    a question of its own is asked once. The complaints are those whose id is divisible by 100, searched against all records."""
+    own = [t for t, (_, _, _, most) in TASKS.items() if most != 0]
+    asked = first_per_key(table(spark, folder, "kifid").where("kern_klacht is not null and rij_id % 100 = 0"), ["rij_id"], [F.col("rij_id")])
+    rows = asked.select("rij_id", F.col("kern_klacht").alias("vraag"), F.explode(F.array(*map(F.lit, own))).alias("functie"))
+    rows = rows.select(F.concat_ws("-", "functie", "rij_id").alias("req"), "functie", "vraag")
+    fixed = spark.createDataFrame([(t, t, None) for t in TASKS if t not in own], "req string, functie string, vraag string")
+    return rows.unionByName(fixed)
 
 
 def task_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """What the composed tasks find for complaints, the tasks taken in turn: one batch per corpus."""
+    """What every composed task finds for complaints: one batch per corpus."""
     plan = planned(_requests(spark, folder), task="functie", text="vraag")
     parts = []
     for c in CORPORA:
@@ -197,16 +201,17 @@ _VERDICTS = f"""select item_id, sum(n)::bigint as n, string_agg(n || 'x ' || v,
 
 def _task_sql(c: str) -> str:
     cases = []
-    for i, (t, (corpora, depth, words, most)) in enumerate(TASKS.items()):
+    for t, (corpora, depth, words, most) in TASKS.items():
         if c in corpora:
             own = "v" if most is None else f"left(v, {most})"
-            cases.append(f"select 'k-' || rij_id as q, '{t}' as functie, {depth} as depth, trim(concat_ws(' ', {own}, '{words}')) as text from asked where rij_id % {len(TASKS)} = {i}")
-    asked = "(select rij_id, kern_klacht as v from kifid where kern_klacht is not null qualify row_number() over (partition by rij_id) = 1)"
-    mine = " union all ".join(cases).replace("from asked", f"from {asked}")
+            asked = f"select '{t}-' || rij_id as q, '{t}' as functie, {depth} as depth, trim(concat_ws(' ', {own}, '{words}')) as text from {_ASKED}"
+            cases.append(asked if most != 0 else f"select '{t}' as q, '{t}' as functie, {depth} as depth, '{words}' as text")
+    mine = " union all ".join(cases)
     hits = _bm25_sql(f"select rij_id as d, {sqltext.joined(*FIELDS[c])} as text from {_corpus_sql(c)}", f"select q, text from ({mine})", 8)
     return f"select h.q as req, d as rij_id, score, rank, functie, '{c}' as corpus from ({hits}) h join ({mine}) m on h.q = m.q where rank <= depth"
 
 
+_ASKED = "(select rij_id, kern_klacht as v from kifid where kern_klacht is not null and rij_id % 100 = 0 qualify row_number() over (partition by rij_id) = 1)"
 QUERIES = {
     f.__name__: f
     for f in (gate_rows, tokenize_counts, term_df, doc_len_stats, term_weight_by_source, bm25_documents, bm25_fanout, source_list, context_block, precedent_summary, clause_compare, task_sources)

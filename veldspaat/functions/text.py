@@ -26,8 +26,11 @@ OTHER_SPACE = SPACE.replace(r"\x{20}", "")
 
 
 def collapse(text: Column) -> Column:
-    """Every run of Unicode white space made one space, ends trimmed; single spaces are passed over, not replaced."""
-    return F.trim(F.regexp_replace(text, f" {SPACE}+|{OTHER_SPACE}{SPACE}*", " "))
+    """Every run of Unicode white space made one space, ends trimmed.
+
+    Printable ASCII is told by one test, and single spaces are passed over, not replaced.
+    """
+    return F.trim(F.regexp_replace(text, f"(?![!-~])(?: {SPACE}+|{OTHER_SPACE}{SPACE}*)", " "))
 
 
 #: Dutch words that carry no content in retrieval; niet and geen are kept, as they decide questions of cover. Fixed values.

@@ -293,7 +293,7 @@ select rij_id, case when length(t) <= 400 then t when dot > 160 then left(c, dot
     "clean_lines": f"""select rij_id, length(tekst)::int as before, length(array_to_string(list_transform(lines, lambda r, i: case when i = 1 then '' when regexp_matches(r, '{ITEM}') then chr(10) else ' ' end || r), ''))::int as after
   from (select rij_id, tekst, list_filter(list_transform(string_split({clean_sql("tekst")}, chr(10)), lambda r: trim(regexp_replace(r, '[ \t\r]+', ' ', 'g'))), lambda r: r <> '') as lines
     from (select distinct rij_id, tekst from polisvoorwaarden where tekst is not null))""",
-    "toc_cut": """with t as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
+    "toc_cut": r"""with t as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
 l as (select *, list_max(list_transform(range(1, least(len(lines), 220) + 1), lambda i: case when length(trim(lines[i])) > 15 and regexp_matches(trim(lines[i]), '^\S.*\s\d{1,3}\s*$') then i end)) as last from t),
 b as (select *, case when last is null then text else array_to_string(lines[last + 1:], chr(10)) end as body from l)
 select doc_id, length(text)::int as before, (case when length(body) >= 0.5 * length(text) then length(body) else -1 end)::int as after from b

@@ -190,3 +190,18 @@ def test_manifests(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "file string, v int")
     new = spark.createDataFrame([("b", 3)], "file string, v int")
     assert sorted(map(tuple, upserted(old, new, key=["file"], files=new.select("file")).collect())) == [("b", 3)]
+
+
+def test_bm25_in_parts_is_bm25_of_each_part(spark):
+    rows = [("a", i, f"dak storm {'schade ' * (i % 4)} woord{i % 5}") for i in range(30)] + [("b", i, f"dak water {'kelder ' * (i % 3)} woord{i % 7}") for i in range(20)] + [("c", 1, None)]
+    texts = spark.createDataFrame(rows, "c string, id int, t string")
+    asked = spark.createDataFrame([(1, "a", "storm dak schade schade"), (2, "b", "kelder woord3"), (3, "b", "niets"), (4, "c", "dak"), (5, "a", None)], "q int, c string, t string")
+    both = bm25(texts, asked, item="id", text=F.col("t"), query="q", query_text=F.col("t"), k=4, part="c")
+    own = bm25(texts, asked, item="id", text=F.col("t"), query="q", query_text=F.col("t"), k=4, part="c", asks_part=True)
+    want = {}
+    for c in "abc":
+        for r in bm25(texts.where(F.col("c") == c), asked, item="id", text=F.col("t"), query="q", query_text=F.col("t"), k=4).collect():
+            want[c, r.q, r["rank"]] = (r.id, r.score)
+    assert {(r.c, r.q, r["rank"]): (r.id, r.score) for r in both.collect()} == want
+    to = {1: "a", 2: "b", 3: "b", 4: "c"}
+    assert {(r.c, r.q, r["rank"]): (r.id, r.score) for r in own.collect()} == {k: v for k, v in want.items() if to[k[1]] == k[0]}

@@ -29,13 +29,14 @@ def counted(terms: Column) -> Column:
     return let(F.sort_array(terms), lambda ordered: let(heads(ordered), lambda at: runs(ordered, at)))
 
 
-def term_index(texts: DataFrame, *, item: str, text: Column) -> DataFrame:
+def term_index(texts: DataFrame, *, item: str, text: Column, part: str | None = None) -> DataFrame:
     """(item, n_tokens, terms): every text with its distinct terms and how often each occurs, written once, nothing shuffled.
 
-    A text without tokens, or null, has no terms and counts as one of length 0.
+    ``part`` names a column, such as the corpus, that is kept. A text without tokens, or null, has no terms and counts as
+    one of length 0.
     """
-    spelt = texts.select(item, tokens(text).alias("_t"))
-    return written(spelt.select(item, F.size("_t").alias("n_tokens"), counted(F.col("_t")).alias("terms")), "terms")
+    spelt = texts.select(*([part] if part else []), item, tokens(text).alias("_t"))
+    return written(spelt.select(*([part] if part else []), item, F.size("_t").alias("n_tokens"), counted(F.col("_t")).alias("terms")), "terms")
 
 
 def document_frequencies(texts: DataFrame, *, text: Column) -> DataFrame:
@@ -53,31 +54,37 @@ def length_statistics(texts: DataFrame, *, text: Column) -> DataFrame:
     return sizes.select(F.greatest("n", F.lit(1)).alias("n_docs"), F.col("t").alias("n_tokens"), (F.col("t") / F.greatest("n", F.lit(1))).alias("average"))
 
 
-def bm25_search(index: DataFrame, queries: DataFrame, *, item: str, query: str, query_text: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(
+    index: DataFrame, queries: DataFrame, *, item: str, query: str, query_text: Column, k: int, part: str | None = None, asks_part: bool = False, k1: float = K1, b: float = B
+) -> DataFrame:
     """(query, item, score, rank): the ``k`` best texts of an index for each query, ties by item.
 
-    A term that a query has twice counts twice. Texts that share no term with a query don't appear, a query without
-    tokens has no rows. Only two numbers about the texts reach the driver, read from the column of lengths. The terms of
-    the batch and their weights are broadcast if their bytes allow it. What no query asks for is dropped before the one
-    shuffle of the index, which is by text, so that scores are added up where a text's terms are; the window that ranks
-    keeps ``k`` rows per query on each task before it shuffles.
+    With ``part`` the index holds several corpora, each with statistics and ranks of its own, and the result has that
+    column; with ``asks_part`` each query has it too and is put to that corpus only. A term that a query has twice counts
+    twice. Texts that share no term with a query don't appear, a query without tokens has no rows. Nothing about the texts
+    reaches the driver. The terms of the batch and their weights are broadcast if their bytes allow it. What no query asks
+    for is dropped before the one shuffle of the index, which is by text, so that scores are added up where a text's terms
+    are; the window that ranks keeps ``k`` rows per query on each task before it shuffles.
     """
-    size = index.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
-    n = float(max(size["n"], 1))
-    average = (size["t"] or 0) / n or 1.0
-    asked = queries.select(F.col(query).alias("_q"), F.explode_outer(tokens(query_text)).alias("term")).where("term is not null").groupBy("_q", "term").agg(F.count("*").alias("_times"))
-    asked = written(asked, "terms-asked")
-    postings = index.select(F.col(item).alias("_d"), F.col("n_tokens").alias("_len"), F.inline_outer("terms")).where("term is not null")
+    of = (F.col(part) if part else F.lit("")).alias("_p")
+    asked = queries.select(F.col(query).alias("_q"), *([of] if asks_part else []), F.explode_outer(tokens(query_text)).alias("term")).where("term is not null")
+    asked = written(asked.groupBy(*asked.columns).agg(F.count("*").alias("_times")), "terms-asked")
+    sizes = index.groupBy(of).agg(F.count("*").cast("double").alias("_n"), F.avg("n_tokens").alias("_average"))
+    postings = index.select(of, F.col(item).alias("_d"), F.col("n_tokens").alias("_len"), F.inline_outer("terms")).where("term is not null")
     postings = sized_join(postings, asked.select("term"), ["term"], "left_semi")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("_df"))
-    weight = F.col("_times") * F.log1p((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = written(asked.join(frequency, "term").select("_q", "term", weight.alias("_w")), "terms-weights")
-    part = F.col("_w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / average))
-    scored = sized_join(postings.repartition("_d"), weights, ["term"]).groupBy("_q", "_d").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("_d")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query), F.col("_d").alias(item), "score", "rank")
-
-
-def bm25(texts: DataFrame, queries: DataFrame, *, item: str, text: Column, query: str, query_text: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    frequency = postings.groupBy("_p", "term").agg(F.count("*").alias("_df"))
+    weight = F.col("_times") * F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weights = asked.join(frequency, ["_p", "term"] if asks_part else ["term"]).join(sizes, "_p")
+    weights = written(weights.select("_q", "_p", "term", weight.alias("_w"), F.when(F.col("_average") > 0, F.col("_average")).otherwise(1.0).alias("_average")), "terms-weights")
+    gain = F.col("_w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_average")))
+    scored = sized_join(postings.repartition("_d"), weights, ["_p", "term"]).groupBy("_q", "_p", "_d").agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("_q", "_p").orderBy(F.desc("score"), F.asc("_d")))
+    found = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(F.col("_q").alias(query), F.col("_d").alias(item), "score", "rank", *([F.col("_p").alias(part)] if part else []))
+
+
+def bm25(
+    texts: DataFrame, queries: DataFrame, *, item: str, text: Column, query: str, query_text: Column, k: int, part: str | None = None, asks_part: bool = False, k1: float = K1, b: float = B
+) -> DataFrame:
     """``bm25_search`` over texts that are indexed for this one batch; keep a ``term_index`` to search texts more often."""
-    return bm25_search(term_index(texts, item=item, text=text), queries, item=item, query=query, query_text=query_text, k=k, k1=k1, b=b)
+    return bm25_search(term_index(texts, item=item, text=text, part=part), queries, item=item, query=query, query_text=query_text, k=k, part=part, asks_part=asks_part, k1=k1, b=b)

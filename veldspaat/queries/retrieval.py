@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,39 +78,43 @@ def bm25_documents(spark: SparkSession, folder: str) -> DataFrame:
     return bm25(spread(table(spark, folder, "documents"), "doc_id"), table(spark, folder, "toetsitems"), item="doc_id", text=F.col("text"), query="item_id", query_text=F.col("tekst"), k=6)
 
 
-def _fanout(spark: SparkSession, folder: str, name: str, k: int) -> DataFrame:
+def _texts(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """(corpus, rij_id, text) of several corpora in one table."""
+    return reduce(DataFrame.unionByName, [corpus(spark, folder, c).select(F.lit(c).alias("corpus"), "rij_id", _text(c).alias("text")) for c in names])
+
+
+def _fanout(spark: SparkSession, folder: str, names: tuple[str, ...], k: int) -> DataFrame:
     items = table(spark, folder, "toetsitems")
-    return bm25(corpus(spark, folder, name), items, item="rij_id", text=_text(name), query="item_id", query_text=joined(F.col("onderwerp"), F.col("tekst")), k=k)
+    return bm25(_texts(spark, folder, names), items, item="rij_id", text=F.col("text"), query="item_id", query_text=joined(F.col("onderwerp"), F.col("tekst")), k=k, part="corpus")
 
 
-def _hits(spark: SparkSession, folder: str, name: str, k: int) -> DataFrame:
-    """The records that the test items find, whole: few rows, joined to the plain table, whose repeats are dropped after that."""
-    hits = written(_fanout(spark, folder, name, k), "hits")
-    found = sized_join(table(spark, folder, name), hits, ["rij_id"])
-    return found.dropDuplicates(["item_id", "rank"])
+def _hits(spark: SparkSession, folder: str, names: tuple[str, ...], k: int) -> dict[str, DataFrame]:
+    """The records that the test items find in each corpus, whole: few rows, joined to the plain table, whose repeats are dropped after that."""
+    hits = written(_fanout(spark, folder, names, k), "hits")
+    found = {c: sized_join(table(spark, folder, c), hits.where(F.col("corpus") == c), ["rij_id"]) for c in names}
+    return {c: rows.dropDuplicates(["item_id", "rank"]) for c, rows in found.items()}
 
 
 def bm25_fanout(spark: SparkSession, folder: str) -> DataFrame:
     """The four best records of every corpus for each test item."""
-    parts = [_fanout(spark, folder, c, 4).withColumn("corpus", F.lit(c)) for c in CORPORA]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _fanout(spark, folder, CORPORA, 4)
 
 
 def source_list(spark: SparkSession, folder: str) -> DataFrame:
     """The source list of each test item: three records of every corpus with label, title and fragment."""
-    parts = [_hits(spark, folder, c, 3).select("item_id", "rank", *listed(c)) for c in CORPORA]
+    parts = [rows.select("item_id", "rank", *listed(c)) for c, rows in _hits(spark, folder, CORPORA, 3).items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
     """The context of each test item: titled sections with three passages of every corpus."""
-    parts = [_hits(spark, folder, c, 3).select("item_id", F.lit(c).alias("corpus"), "rank", block(c).alias("passage")) for c in CORPORA]
+    parts = [rows.select("item_id", "corpus", "rank", block(c).alias("passage")) for c, rows in _hits(spark, folder, CORPORA, 3).items()]
     return contexts(parts[0].unionByName(parts[1]).unionByName(parts[2]), query="item_id")
 
 
 def precedent_summary(spark: SparkSession, folder: str) -> DataFrame:
     """How the verdicts of the eight closest rulings are spread, for each test item."""
-    return verdicts(_hits(spark, folder, "kifid", 8).select("item_id", "rank", "oordeel"), query="item_id", verdict="oordeel")
+    return verdicts(_hits(spark, folder, ("kifid",), 8)["kifid"].select("item_id", "rank", "oordeel"), query="item_id", verdict="oordeel")
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,14 +129,10 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def task_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """What every composed task finds for complaints: one batch per corpus."""
+    """What every composed task finds for complaints, in one batch."""
     plan = planned(_requests(spark, folder), task="functie", text="vraag")
-    parts = []
-    for c in CORPORA:
-        mine = plan.where(F.col("corpus") == c)
-        hits = bm25(corpus(spark, folder, c), mine, item="rij_id", text=_text(c), query="req", query_text=F.col("question"), k=8)
-        parts.append(hits.join(mine.select("req", "functie", "depth", "corpus"), "req").where("rank <= depth").drop("depth"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    hits = bm25(_texts(spark, folder, CORPORA), plan, item="rij_id", text=F.col("text"), query="req", query_text=F.col("question"), k=8, part="corpus", asks_part=True)
+    return hits.join(plan.select("req", "functie", "depth", "corpus"), ["req", "corpus"]).where("rank <= depth").drop("depth")
 
 
 def clause_compare(spark: SparkSession, folder: str) -> DataFrame:

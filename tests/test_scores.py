@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veldspaat.operators import scores
 from veldspaat.operators.retrieval import bm25
 from veldspaat.plans import joins
-from veldspaat.queries import retrieval
+from veldspaat.queries import composed, retrieval
 
 FIXED = "uitsluiting dekking eigen risico"
 
@@ -81,3 +81,10 @@ def test_best_scores_equal_all_scores(spark, monkeypatch, words, limits, batch):
     texts, queries = (spark.createDataFrame(rows, s) for rows, s in zip(words, ("d string, c string, t string", "q int, t string"), strict=True))
     got = bm25(texts.repartition(3, "d"), queries, item="d", text=F.col("t"), query="q", query_text=F.col("t"), k=5, part="c").collect()
     assert {(r.q, r.c, r.d or "", r.score, r["rank"]) for r in got} == _brute(*words, 5) and len(got) == len(_brute(*words, 5))
+
+
+def test_sides_are_found_without_a_row_per_product_and_clause(spark, tmp_path):
+    _clauses(spark, str(tmp_path), 300, 4)
+    found = []
+    assert _most_rows(spark, lambda: found.extend(composed.clause_sides(spark, str(tmp_path)).collect())) < 300 * 1200 / 10
+    assert len(found) == 2 * 6 * (300 - 4) and {r.kant for r in found} == {"A", "B"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspaat.functions.addresses import BLOCKED, HEAD, LEAST_BYTES, LEAST_PRINT, captured, print_kept, print_key, reachable
@@ -65,9 +65,9 @@ def basis_members(spark: SparkSession, folder: str) -> DataFrame:
 def clause_sides(spark: SparkSession, folder: str) -> DataFrame:
     """Each product beside the next one of its insurer: the six clauses found for either side, a clause found for both kept twice."""
     rows = table(spark, folder, "polisvoorwaarden").where("product is not null")
-    names = rows.select("verzekeraar_of_bron", "product").distinct()
-    pairs = names.alias("a").join(names.groupBy("verzekeraar_of_bron").agg(F.array_sort(F.collect_set("product")).alias("_all")), "verzekeraar_of_bron")
-    pairs = pairs.select(F.col("product").alias("product_a"), F.get("_all", F.array_position("_all", F.col("product")).cast("int")).alias("product_b")).where("product_b is not null").distinct()
+    names = rows.where("verzekeraar_of_bron is not null").select("verzekeraar_of_bron", "product").distinct()
+    later = F.lead("product").over(Window.partitionBy("verzekeraar_of_bron").orderBy("product"))
+    pairs = names.select(F.col("product").alias("product_a"), later.alias("product_b")).where("product_b is not null").distinct()
     asked = rows.select("product").distinct().select("product", F.concat("product", F.lit(" uitsluiting dekking eigen risico")).alias("vraag"))
     hits = bm25(retrieval.corpus(spark, folder, "polisvoorwaarden"), asked, item="rij_id", text=retrieval._text("polisvoorwaarden"), query="product", query_text=F.col("vraag"), k=6)
     hits, pairs = written(hits.select("product", "rij_id", "rank"), "hits"), written(pairs, "pairs")

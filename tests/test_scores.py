@@ -100,3 +100,15 @@ def test_tasks_search_without_a_row_per_complaint_and_text(spark, tmp_path):
     assert _most_rows(spark, lambda: found.extend(retrieval.task_sources(spark, str(tmp_path)).collect())) < 300 * 300
     first = {(r.functie, r.req.rpartition("-")[2], r.rij_id) for r in found if r["rank"] == 1 and r.corpus == "kifid" and "-" in r.req}
     assert first == {(t, str(100 * n), 100 * n) for t in ("precedentzoeker", "afwijzingsanalyse", "begripsuitleg") for n in range(300)}
+
+
+def test_tasks_make_no_row_per_text_and_term(spark, tmp_path):
+    _clauses(spark, str(tmp_path), 50, 6)
+    texts = [(n, " ".join(f"w{i}x" for i in range(n % 5, 60))) for n in range(300)]
+    for name, whole in (("kifid", "kern_klacht"), ("wetgeving", "tekst")):
+        empty = [F.lit(None).cast("string").alias(c) for c in (*retrieval.FIELDS[name], "audit_bevinding") if c != whole]
+        spark.createDataFrame(texts, f"rij_id long, {whole} string").select("*", *empty, F.lit(True).alias("bron_geverifieerd")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = []
+    assert _most_rows(spark, lambda: found.extend(retrieval.task_sources(spark, str(tmp_path)).collect())) < 2 * 300 * 58 / 10
+    best = [(r.req, r.rij_id) for r in found if r["rank"] == 1 and r.corpus == "kifid" and r.functie == "precedentzoeker"]
+    assert sorted(best) == [(f"precedentzoeker-{n}", 0) for n in (0, 100, 200)]

@@ -112,3 +112,30 @@ def test_tasks_make_no_row_per_text_and_term(spark, tmp_path):
     assert _most_rows(spark, lambda: found.extend(retrieval.task_sources(spark, str(tmp_path)).collect())) < 2 * 300 * 58 / 10
     best = [(r.req, r.rij_id) for r in found if r["rank"] == 1 and r.corpus == "kifid" and r.functie == "precedentzoeker"]
     assert sorted(best) == [(f"precedentzoeker-{n}", 0) for n in (0, 100, 200)]
+
+
+def test_every_complaint_is_put_to_every_task(spark, tmp_path):
+    """Whatever its id; equal complaints are searched once and answered each."""
+    _clauses(spark, str(tmp_path), 5, 2)
+    texts = [(n, f"klacht{n % 150}x over {FIXED} b{n % 7}" if n else None) for n in range(301)]
+    for name, whole in (("kifid", "kern_klacht"), ("wetgeving", "tekst")):
+        empty = [F.lit(None).cast("string").alias(c) for c in (*retrieval.FIELDS[name], "audit_bevinding") if c != whole]
+        spark.createDataFrame(texts, f"rij_id long, {whole} string").select("*", *empty, F.lit(True).alias("bron_geverifieerd")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = retrieval.task_sources(spark, str(tmp_path)).collect()
+    own = ("dekkingscheck", "precedentzoeker", "polisvergelijker", "afwijzingsanalyse", "begripsuitleg")
+    assert {r.req for r in found if "-" in r.req} == {f"{t}-{n}" for t in own for n in range(1, 301)}
+    assert len(found) == len({(r.req, r.corpus, r["rank"]) for r in found}) and {r.req for r in found if "-" not in r.req} <= {"dossiercheck", "klachtroute", "adviesnotitie"}
+    best = {int(r.req.rpartition("-")[2]): r.rij_id for r in found if r["rank"] == 1 and r.functie == "precedentzoeker"}
+    assert all((best[n] - n) % 150 == 0 for n in range(1, 301))
+
+
+def test_all_tasks_make_no_row_per_text_and_term(spark, tmp_path):
+    """With every complaint asked: 300, of which 5 differ."""
+    _clauses(spark, str(tmp_path), 50, 6)
+    texts = [(n, " ".join(f"w{i}x" for i in range(n % 5, 600))) for n in range(300)]
+    for name, whole in (("kifid", "kern_klacht"), ("wetgeving", "tekst")):
+        empty = [F.lit(None).cast("string").alias(c) for c in (*retrieval.FIELDS[name], "audit_bevinding") if c != whole]
+        spark.createDataFrame(texts, f"rij_id long, {whole} string").select("*", *empty, F.lit(True).alias("bron_geverifieerd")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = []
+    assert _most_rows(spark, lambda: found.extend(retrieval.task_sources(spark, str(tmp_path)).collect())) < 2 * 300 * 598 / 10
+    assert len([r for r in found if r["rank"] == 1 and r.corpus == "kifid" and r.functie == "precedentzoeker"]) == 300
